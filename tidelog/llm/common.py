@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -60,7 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, siz
         if batch.num_rows == 0:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
         start = 0
         while start < batch.num_rows:
