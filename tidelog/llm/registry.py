@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tidelog.llm import (
+    decontamination,
+    mixing,
     simhash_dedup,
     substring_dedup,
 )
@@ -10,6 +12,8 @@ from tidelog.llm import (
 MODULES = {
     "op2_simhash_near_dedup": simhash_dedup,
     "op7_substring_dedup": substring_dedup,
+    "op8_benchmark_decontamination": decontamination,
+    "op9_mixing": mixing,
 }
 
 
