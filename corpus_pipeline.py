@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidelog.llm import simhash_dedup, substring_dedup
+from tidelog.llm import decontamination, mixing, simhash_dedup, substring_dedup
 from tidelog.llm.common import shared_folder
 
 STAGES = [
     ("near_dedup", simhash_dedup.stage),
     ("substring_dedup", substring_dedup.stage),
+    ("decontamination", decontamination.stage),
+    ("mixing", mixing.stage),
 ]
 
 ORACLE_SQL = None
