@@ -103,3 +103,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text):
     """Words [^\\x20\\x09-\\x0D]+ of a text column as a long; 0 for null. JVM only."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def per_text(docs: DataFrame, text_col: str, carry: list[str] | None, work, out: str) -> DataFrame:
+    """Every row's columns `carry` (by default all) as struct `rest`, beside what `work` makes of its text.
+
+    work() is called once a task; what it returns maps a list of UTF-8 texts to a list of Arrow arrays, in the
+    order of the DDL `out`, whose columns are separated by semicolons.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("rest")
+    pair = docs.select(F.col(text_col).cast("string").alias("text"), rest)
+    names = ["rest", *(x.split()[0] for x in out.split(";"))]
+
+    def run(batches):
+        each = work()
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(1), *each(texts_as_bytes(batch.column(0)))], names=names)
+
+    return pair.mapInArrow(run, f"rest {pair.schema['rest'].dataType.simpleString()}, {out.replace(';', ',')}")
+
+
+def unpacked(found: DataFrame, columns: list[str], *more) -> DataFrame:
+    """The columns of struct `rest` under their own names, then `more`."""
+    return found.select(*[F.col("rest").getField(c).alias(c) for c in columns], *more)
