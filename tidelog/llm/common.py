@@ -34,7 +34,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes -> XXH3-64, remembered for at most `bound` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
@@ -55,7 +55,7 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that none holds more than `rows` rows or (unless it is one row) `size` bytes of `column`."""
     for batch in batches:
         if batch.num_rows == 0:

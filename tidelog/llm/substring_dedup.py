@@ -65,7 +65,7 @@ def window_hashes(words: np.ndarray, window: int, powers: Powers) -> np.ndarray:
 
 def recompress(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Levels from low to high: (name, first context word, end of context) of the symbols whose context fits a window."""
-    name, lo, hi = words, np.arange(len(words)), np.arange(1, len(words) + 1)
+    name, lo, hi = words, np.arange(len(words), dtype=np.int32), np.arange(1, len(words) + 1, dtype=np.int32)
     yield name, lo, hi
     for level in range(1, rounds + 1):
         # Runs: every symbol's context takes in both neighbours, which tell where its run ends.
@@ -95,7 +95,7 @@ def recompress(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) ->
 
 def window_keys(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
     """For every window start the name of its highest symbol, of several the leftmost."""
-    starts = np.arange(len(words) - window + 1)
+    starts = np.arange(len(words) - window + 1, dtype=np.int32)
     keys = np.zeros(len(starts), dtype=np.uint64)
     for name, lo, hi in recompress(words, window, rounds):
         at = np.searchsorted(lo, starts)
@@ -130,12 +130,13 @@ def batch_windows(ids: np.ndarray, texts: list[bytes], window: int, rounds: int,
             checks.append(xxhash.xxh32_intdigest(texts[j]) & 0xFFFF)
     if not docs:
         return None
-    words, size = np.concatenate(parts), np.array(sizes)
+    words, size = np.concatenate(parts), np.array(sizes, dtype=np.int32)
+    del parts
     begin = 1 + np.concatenate([[0], np.cumsum(size[:-1] + 1)])
     count = size - window + 1
-    owner = np.repeat(np.arange(len(size)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[owner] + start
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), count)
+    start = np.arange(count.sum(), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+    at = begin.astype(np.int32)[owner] + start
     keys, tags = window_keys(words, window, rounds)[at], window_hashes(words, window, powers)[at] >> np.uint64(24)
     return keys, tags, np.array(docs, dtype=np.int64)[owner], np.array(checks, dtype=np.uint16)[owner], start
 
@@ -256,7 +257,7 @@ def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def compress_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, check, zipped text, rest) of documents, for the exchange by id."""
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=6)
     for batch in slices(batches, "text"):
         texts = texts_as_bytes(batch.column(1))
         checks = [None if x is None else xxhash.xxh32_intdigest(x) & 0xFFFF for x in texts]
