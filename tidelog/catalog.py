@@ -130,8 +130,9 @@ def chunk_manifest(spark, sf):
 
 
 @query(f"""WITH {MANIFEST}, bad AS (SELECT chunk_min, CASE WHEN chunk_id = 2 THEN chunk_max - 1 WHEN chunk_id = 4 THEN chunk_max + 1 ELSE chunk_max END AS chunk_max FROM manifest),
-l AS (SELECT *, lag(chunk_max) OVER (ORDER BY chunk_min) AS before FROM bad)
-SELECT chunk_min, chunk_max, CASE WHEN before >= chunk_min THEN 'overlap' ELSE 'gap' END AS fault FROM l WHERE before IS NOT NULL AND before + 1 <> chunk_min""")
+l AS (SELECT *, lag(chunk_max) OVER (ORDER BY chunk_min) AS before, lead(chunk_min) OVER (ORDER BY chunk_min) AS next FROM bad)
+SELECT chunk_min, chunk_max, CASE WHEN before >= chunk_min THEN 'overlap' WHEN before + 1 < chunk_min THEN 'gap' ELSE 'does not end at the bound' END AS fault FROM l, ub
+WHERE (before IS NOT NULL AND before + 1 <> chunk_min) OR (next IS NULL AND chunk_max <> m)""")
 def manifest_proof(spark, sf):
     m = sparse_manifest(spark, sf)
     upper = chunks.upper_bound(sparse_orders(spark, sf), "k").first()[0]

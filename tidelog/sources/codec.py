@@ -62,7 +62,8 @@ def fragment_numbers(changes: DataFrame, by: list[str], order: str, size: str, l
 
     Greedy packing is a recurrence, so each transaction is folded by itself in one Arrow group.
     """
-    out = changes.withColumn("fragment", F.lit(0).cast("bigint"))
+    schema = changes.withColumn("fragment", F.lit(0).cast("bigint")).schema
+    columns = schema.names
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
@@ -74,6 +75,6 @@ def fragment_numbers(changes: DataFrame, by: list[str], order: str, size: str, l
                 number, held = number + 1, 0
             held += n
             numbers.append(number)
-        return group.assign(fragment=numbers)[out.columns]
+        return group.assign(fragment=numbers)[columns]
 
-    return changes.groupBy(*by).applyInPandas(pack, out.schema)
+    return changes.groupBy(*by).applyInPandas(pack, schema)
