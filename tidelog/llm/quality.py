@@ -20,9 +20,10 @@ from tidelog.llm.common import FOLD_WORDS, WordHashes, per_text, table, unpacked
 
 FEATURES = 1 << 20
 STEM = 5
-SCALE = 0.3
+SCALE = 1.0
+LEAST_DOCS = 8
 SAMPLE = 8000
-PASSES = 6
+PASSES = 8
 RATE = 0.5
 DECAY = 1e-5
 MIN_TAIL = 0.9
@@ -61,6 +62,9 @@ def fit(rows: list[tuple[bytes, int]], grades: int = 3, seed: int = 7) -> tuple[
     cuts = np.array([-4.0, -1.0][: grades - 1]) if grades == 3 else np.arange(grades - 1) - (grades - 2) / 2
     cut_squares = np.full(len(cuts), 1e-6)
     data = sorted(((np.frombuffer(x, np.int32), g) for x, g in rows), key=lambda r: (r[0].tobytes(), r[1]))
+    if len(data) >= 50 * LEAST_DOCS:  # features of few documents only add noise
+        often = np.bincount(np.concatenate([x for x, _ in data]), minlength=FEATURES) >= LEAST_DOCS
+        data = [(x[often[x]], g) for x, g in data]
     order = np.random.default_rng(seed)
     for _ in range(PASSES):
         for i in order.permutation(len(data)):
