@@ -24,6 +24,7 @@ SCALE = 1.0
 LEAST_DOCS = 8
 SAMPLE = 8000
 PASSES = 8
+LEAST_STEPS = 20_000
 RATE = 0.5
 DECAY = 1e-5
 MIN_TAIL = 0.9
@@ -66,7 +67,7 @@ def fit(rows: list[tuple[bytes, int]], grades: int = 3, seed: int = 7) -> tuple[
         often = np.bincount(np.concatenate([x for x, _ in data]), minlength=FEATURES) >= LEAST_DOCS
         data = [(x[often[x]], g) for x, g in data]
     order = np.random.default_rng(seed)
-    for _ in range(PASSES):
+    for _ in range(max(PASSES, -(-LEAST_STEPS // max(1, len(data))))):
         for i in order.permutation(len(data)):
             at, grade = data[i]
             score = weights[at].sum() * SCALE
