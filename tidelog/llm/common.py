@@ -105,6 +105,24 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def look_up_salted(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, rows_col: str = "rows") -> DataFrame:
+    """`rows` left-joined with `facts` on `keys`; facts have one row a key and in `rows_col` how many rows have it.
+
+    A key with more than a fair share (a quarter of a partition) of all rows is hot. There are at most four hot keys for
+    each partition, which proves the bound of their broadcast. Rows of a hot key are dealt by column `by` to salts of a
+    fair share each, and the key's fact is copied to every salt: fewer than eight copies for each partition in all.
+    """
+    total = facts.agg(F.coalesce(F.sum(rows_col), F.lit(0)).alias("n")).first()["n"]
+    fair = max(1, int(total) // (4 * partitions(rows.sparkSession)))
+    salts = F.ceil(F.col(rows_col) / F.lit(fair)).cast("int")
+    hot = facts.where(F.col(rows_col) > fair).select(*keys, salts.alias("__salts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__salts")).cast("int"), F.lit(0))
+    )
+    copies = F.when(F.col(rows_col) > fair, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(facts.withColumn("__salt", F.explode(copies)), [*keys, "__salt"], "left").drop("__salt", "__salts", rows_col)
+
+
 def per_text(docs: DataFrame, text_col: str, carry: list[str] | None, work, out: str) -> DataFrame:
     """Every row's columns `carry` (by default all) as struct `rest`, beside what `work` makes of its text.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.common import ensure_checkpoints
+from tidelog.llm.common import ensure_checkpoints, look_up_salted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A hub of a third of all links is dealt to many tasks.
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).withColumn("m", F.least("u", "m")).checkpoint()
+        large = look_up_salted(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         handed = large.join(small, "u")
         now = (

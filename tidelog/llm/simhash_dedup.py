@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import ensure_checkpoints, partitions, slices, table, texts_as_bytes
+from tidelog.llm.common import ensure_checkpoints, look_up_salted, partitions, slices, table, texts_as_bytes
 from tidelog.llm.components import components
 
 SHINGLE = 4
@@ -205,15 +205,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ensure_checkpoints(docs.sparkSession)
     marked = fingerprints(docs, id_col, text_col).checkpoint()
     known = marked.where("id IS NOT NULL")
-    classes = known.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
+    classes = known.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")).checkpoint()
     # Rows that repeat an id join their fingerprints.
     repeated = known.groupBy("id").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v")
     several = known.join(repeated.select("id", "u"), "id").select("u", F.col("fp").alias("v")).where("u <> v")
     roots = components(links(classes).unionByName(several)).checkpoint()
     reach = classes.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(reach, "root").select(F.col("node").alias("fp"), "component")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(named, "fp", "left").select(
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "rows").checkpoint()
+    return look_up_salted(marked, named, ["fp"], "id").select(
         "id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
