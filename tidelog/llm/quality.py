@@ -4,6 +4,9 @@ Grades from `labels`: 0 toxic, 1 of low quality, 2 of good quality. A document i
 and of their stems, hashed to `FEATURES` weights that all thresholds share: P(grade <= g) = logistic(threshold_g - score). From it
 come the expected grade and the tail probability P(grade >= 1), by which documents are kept.
 
+Features are weighted only if their share of low grades differs from that of all rows by `MIN_Z` standard deviations at
+some threshold: incidental words of the few low grades would else be learned by heart in place of what marks them.
+
 The fit takes at most `SAMPLE` labelled documents by a hash of their ids (a bounded sample); scoring takes whole texts.
 
 Defined cases: a null or wordless text has the score 0 (the thresholds alone decide); labels without a grade or a
@@ -22,6 +25,7 @@ FEATURES = 1 << 20
 STEM = 5
 SCALE = 1.0
 LEAST_DOCS = 8
+MIN_Z = 6.0
 SAMPLE = 8000
 PASSES = 8
 LEAST_STEPS = 20_000
@@ -64,8 +68,8 @@ def fit(rows: list[tuple[bytes, int]], grades: int = 3, seed: int = 7) -> tuple[
     cut_squares = np.full(len(cuts), 1e-6)
     data = sorted(((np.frombuffer(x, np.int32), g) for x, g in rows), key=lambda r: (r[0].tobytes(), r[1]))
     if len(data) >= 50 * LEAST_DOCS:  # features of few documents only add noise
-        often = np.bincount(np.concatenate([x for x, _ in data]), minlength=FEATURES) >= LEAST_DOCS
-        data = [(x[often[x]], g) for x, g in data]
+        telling = telling_features(data, grades)
+        data = [(x[telling[x]], g) for x, g in data]
     order = np.random.default_rng(seed)
     for _ in range(max(PASSES, -(-LEAST_STEPS // max(1, len(data))))):
         for i in order.permutation(len(data)):
@@ -87,6 +91,19 @@ def fit(rows: list[tuple[bytes, int]], grades: int = 3, seed: int = 7) -> tuple[
     return weights, cuts
 
 
+def telling_features(data: list[tuple[np.ndarray, int]], grades: int) -> np.ndarray:
+    """True for features of enough documents whose share at or under some grade is off by `MIN_Z` standard deviations."""
+    of_all = np.bincount(np.concatenate([x for x, _ in data]), minlength=FEATURES)
+    telling = np.zeros(FEATURES, dtype=bool)
+    for cut in range(grades - 1):
+        low = [x for x, g in data if g <= cut]
+        share = len(low) / len(data)
+        if 0 < share < 1:
+            off = np.bincount(np.concatenate(low), minlength=FEATURES) - of_all * share
+            telling |= np.abs(off) >= MIN_Z * np.sqrt(of_all * share * (1 - share))
+    return telling & (of_all >= LEAST_DOCS)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
