@@ -9,7 +9,7 @@ A document's key is exponential with its quality weight as rate: -ln(u) / qualit
 id, so reruns agree. Full epochs take every document of a source; the rest of the target takes documents
 in order of their keys until the words run out, the last of them in part.
 
-The prefix sums don't need a source in one task: keys fall into `BUCKETS` ranges of even probability, range
+The prefix sums don't need a source in one task: keys fall into at least `BUCKETS` ranges of even probability, range
 sums are aggregated on the map side, and only rows of one range of one source are sorted together.
 
 Defined cases: a null text has size 0 and nothing is taken of it; a null source is a source of its own;
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import table, word_count
+from tidelog.llm.common import partitions, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -48,11 +48,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     return ranked.select("src", "no_src", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * first["level"]).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality=None, buckets: int = BUCKETS, carry: list[str] | None = None, **plan) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality=None, buckets: int | None = None, carry: list[str] | None = None, **plan) -> DataFrame:
     """Every row of `docs`, its columns `carry` (by default all) as struct `rest`, with size, source_size, target and taken (words, repeats counted).
 
     quality: a column of positive document quality weights; by default quality_weight of the size.
     """
+    buckets = buckets or max(BUCKETS, 4 * partitions(docs.sparkSession))  # the ranges shrink as the cluster's partitions do; the mix is the same
     size = word_count(F.col(text_col))
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))
     draw = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
