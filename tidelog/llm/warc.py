@@ -27,7 +27,7 @@ from datetime import datetime
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm.common import ensure_checkpoints, shared_folder, slices, table, texts_as_bytes
+from tidelog.llm.common import ensure_checkpoints, look_up_salted, shared_folder, slices, table, texts_as_bytes
 
 MIN_PAYLOAD = 1000
 END = b"\r\n\r\n"
@@ -195,9 +195,12 @@ def convert(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     long_enough = rows.where(f"id IS NOT NULL AND octet_length(payload) >= {MIN_PAYLOAD}").select("id", "digest")
-    # Sums by digest combine on the map side; the join below is by id, so a payload that a third of all rows have makes no hot key.
-    groups = long_enough.groupBy("digest").agg(F.max("id").alias("last"), F.min("id").alias("first")).where("first < last").select("digest", "last")
-    revisits = long_enough.join(groups, "digest").where("id < last").select("id", "digest", "last").distinct()
+    # Sums by digest combine on the map side. A payload that a third of all rows have is dealt to many tasks, and the
+    # join after that is by id.
+    ensure_checkpoints(pages.sparkSession)
+    groups = long_enough.groupBy("digest").agg(F.max("id").alias("last"), F.min("id").alias("first"), F.count("*").alias("rows"))
+    groups = groups.where("first < last").select("digest", "last", "rows").checkpoint()
+    revisits = look_up_salted(long_enough, groups, ["digest"], "id").where("id < last").select("id", "digest", "last").distinct()
     told = rows.join(revisits, ["id", "digest"], "left").select("id", "url", "payload", F.when(F.col("last").isNull(), "response").otherwise("revisit").alias("kind"), "last")
     records = told.mapInArrow(to_warc, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
