@@ -48,26 +48,40 @@ def kept_hashes(words: np.ndarray, window: int, gram: int, powers: Powers) -> np
 
 
 class Index:
-    """Windows of a part of the benchmark: kept hashes, hashes of short items by length, and the words themselves."""
+    """Windows of a part of the benchmark: kept hashes, and by window size the full hash, place and item of every window.
+
+    The texts are held once, as word numbers; with 16 bytes for each window a part takes few times the bytes of its text.
+    """
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
+        self.names: list[str] = []
+        self.vocabulary: dict[bytes, int] = {}
         hashes, powers = WordHashes(), Powers()
-        owners, kept, short = defaultdict(set), set(), defaultdict(set)
+        texts, kept, places, at = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], defaultdict(list), 0
         for item, text in items:
             words = words_of(text)
             if not words:
                 continue
             size, numbers = min(window, len(words)), hashes.of(words)
-            for i in range(len(words) - size + 1):
-                owners[b" ".join(words[i : i + size])].add(item)
+            texts.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), np.int32, len(words)))
+            full = window_hashes(numbers, size, powers)
+            places[size].append((full, np.arange(at, at + len(full), dtype=np.int32), np.full(len(full), len(self.names), np.int32)))
             if len(words) >= window:
-                kept.update(kept_hashes(numbers, window, gram, powers).tolist())
-            else:
-                short[size].update(window_hashes(numbers, size, powers).tolist())
-        self.owners = {k: sorted(v) for k, v in owners.items()}
-        self.kept = np.array(sorted(kept), dtype=np.uint64)
-        self.short = {n: np.array(sorted(v), dtype=np.uint64) for n, v in short.items()}
+                kept.append(np.unique(kept_hashes(numbers, window, gram, powers)))
+            self.names.append(item)
+            at += len(words)
+        self.words, self.kept = np.concatenate(texts), np.unique(np.concatenate(kept))
+        self.places = {}
+        for size, parts in places.items():
+            full, place, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((item, full))
+            full, place, item = full[order], place[order], item[order]
+            # A window that an item repeats is listed once.
+            again = np.flatnonzero((full[1:] == full[:-1]) & (item[1:] == item[:-1])) + 1
+            offsets = np.arange(size)
+            again = again[(self.words[place[again, None] + offsets] == self.words[place[again - 1, None] + offsets]).all(axis=1)]
+            self.places[size] = tuple(np.delete(x, again) for x in (full, place, item))
 
     def candidates(self, words: np.ndarray, powers: Powers) -> Iterator[tuple[int, np.ndarray]]:
         """(words of a window, starts) that may be benchmark windows."""
@@ -78,10 +92,28 @@ class Index:
             if stretch.any():
                 ends = np.concatenate([new[1:], [len(least)]])
                 yield self.window, np.concatenate([np.arange(a, b) for a, b in zip(new[stretch], ends[stretch], strict=True)])
-        for n, known in self.short.items():
-            if len(words) >= n:
+        for n, (known, _, _) in self.places.items():
+            if n < self.window and len(words) >= n:
                 yield n, np.flatnonzero(found_in(window_hashes(words, n, powers), known))
 
+    def hits(self, texts: list[bytes | None], numbers: np.ndarray, begin: np.ndarray, counts: np.ndarray, powers: Powers) -> Iterator[tuple[int, int, int, set[str]]]:
+        """(text, first word, words, items) of every window of the texts that is a benchmark window, compared word by word."""
+        known_words: dict[int, np.ndarray] = {}
+        for n, starts in self.candidates(numbers, powers):
+            owner = np.searchsorted(begin, starts, side="right") - 1
+            inside = starts + n <= (begin + counts)[owner]
+            starts, owner = starts[inside], owner[inside]
+            full, place, item = self.places[n]
+            mine, offsets = window_hashes(numbers, n, powers)[starts], np.arange(n)
+            low, high = np.searchsorted(full, mine), np.searchsorted(full, mine, side="right")
+            some = high > low
+            for j, at, a, b in zip(*(x[some].tolist() for x in (owner, starts - begin[owner], low, high)), strict=True):
+                if j not in known_words:
+                    known_words[j] = np.fromiter((self.vocabulary.get(w, -1) for w in words_of(texts[j])), np.int32)
+                same = (self.words[place[a:b, None] + offsets] == known_words[j][at : at + n]).all(axis=1)
+                if same.any():
+                    yield j, at, n, {self.names[i] for i in item[a:b][same].tolist()}
+
 
 def found_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, values)
@@ -104,16 +136,9 @@ def look_up(index, last: bool):
             begin = np.concatenate([[0], np.cumsum(np.array(counts) + 1)[:-1]])
             spans: list[list[int]] = [list(x or []) for x in batch.column(2).to_pylist()]
             items: list[set[str]] = [set(x or []) for x in batch.column(3).to_pylist()]
-            by_doc = defaultdict(list)
-            for n, starts in known.candidates(numbers, powers):
-                for j, at in zip((np.searchsorted(begin, starts, side="right") - 1).tolist(), starts.tolist(), strict=True):
-                    by_doc[j].append((n, at - int(begin[j])))
-            for j, found in by_doc.items():
-                words = words_of(texts[j])
-                for n, at in found:
-                    if at + n <= len(words) and (owners := known.owners.get(b" ".join(words[at : at + n]))):
-                        items[j].update(owners)
-                        spans[j] += [at, at + n]
+            for j, at, n, owners in known.hits(texts, numbers, begin, np.array(counts), powers):
+                items[j].update(owners)
+                spans[j] += [at, at + n]
             if last:
                 hits = [covered(s) for s in spans]
                 listed = [",".join(sorted(x)) for x in items]
