@@ -23,6 +23,9 @@ FOLD_WORDS = bytes(
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 
+#: Most bytes of an Arrow batch on its way to Python (one row may be more). A batch stands in memory of both sides.
+ARROW_BYTES = 8 << 20
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finalizer, elementwise."""
@@ -71,6 +74,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, siz
             start = stop
 
 
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of Arrow batches to `ARROW_BYTES`; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower()
+    if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
@@ -129,6 +140,7 @@ def per_text(docs: DataFrame, text_col: str, carry: list[str] | None, work, out:
     work() is called once a task; what it returns maps a list of UTF-8 texts to a list of Arrow arrays, in the
     order of the DDL `out`, whose columns are separated by semicolons.
     """
+    bound_arrow_batches(docs.sparkSession)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("rest")
     pair = docs.select(F.col(text_col).cast("string").alias("text"), rest)
     names = ["rest", *(x.split()[0] for x in out.split(";"))]

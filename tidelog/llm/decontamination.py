@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm.common import FOLD_WORDS, WordHashes, ensure_checkpoints, slices, table, texts_as_bytes
+from tidelog.llm.common import FOLD_WORDS, WordHashes, bound_arrow_batches, ensure_checkpoints, slices, table, texts_as_bytes
 from tidelog.llm.substring_dedup import Powers, window_hashes
 
 WINDOW = 13
@@ -171,6 +171,7 @@ def covered(spans: list[int]) -> int:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Every row of `docs`, its columns `carry` (by default all) as struct `rest`, with n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
+    bound_arrow_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(size) // index_bytes))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import ensure_checkpoints, look_up_salted, partitions, slices, table, texts_as_bytes
+from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, slices, table, texts_as_bytes
 from tidelog.llm.components import components
 
 SHINGLE = 4
@@ -71,6 +71,7 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64 bits as a signed long."""
+    bound_arrow_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(fingerprint_batches, "id long, fp long")
 
 

@@ -30,7 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm.common import WordHashes, mix64, partitions, slices, table, texts_as_bytes
+from tidelog.llm.common import WordHashes, bound_arrow_batches, mix64, partitions, slices, table, texts_as_bytes
 
 WINDOW = 13
 ROUNDS = 6
@@ -320,6 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept_text is the text itself where nothing was removed, else the kept words joined by one space.
     """
     spark = docs.sparkSession
+    bound_arrow_batches(spark)
     n = partitions(spark)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = pair.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(name_windows(4 * n, window, rounds), EXCHANGE)
