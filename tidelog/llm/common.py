@@ -134,23 +134,24 @@ def look_up_salted(rows: DataFrame, facts: DataFrame, keys: list[str], by: str,
     return dealt.join(facts.withColumn("__salt", F.explode(copies)), [*keys, "__salt"], "left").drop("__salt", "__salts", rows_col)
 
 
-def per_text(docs: DataFrame, text_col: str, carry: list[str] | None, work, out: str) -> DataFrame:
+def per_text(docs: DataFrame, text_col: str, carry: list[str] | None, work, out: str, with_text: bool = False) -> DataFrame:
     """Every row's columns `carry` (by default all) as struct `rest`, beside what `work` makes of its text.
 
+    With `with_text` the text, as it came, is column `text` beside them, so that `rest` needn't hold it once more.
     work() is called once a task; what it returns maps a list of UTF-8 texts to a list of Arrow arrays, in the
     order of the DDL `out`, whose columns are separated by semicolons.
     """
     bound_arrow_batches(docs.sparkSession)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("rest")
     pair = docs.select(F.col(text_col).cast("string").alias("text"), rest)
-    names = ["rest", *(x.split()[0] for x in out.split(";"))]
+    names = ["rest", *["text"] * with_text, *(x.split()[0] for x in out.split(";"))]
 
     def run(batches):
         each = work()
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(1), *each(texts_as_bytes(batch.column(0)))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[batch.column(0)] * with_text, *each(texts_as_bytes(batch.column(0)))], names=names)
 
-    return pair.mapInArrow(run, f"rest {pair.schema['rest'].dataType.simpleString()}, {out.replace(';', ',')}")
+    return pair.mapInArrow(run, f"rest {pair.schema['rest'].dataType.simpleString()}, {'text string, ' * with_text}{out.replace(';', ',')}")
 
 
 def unpacked(found: DataFrame, columns: list[str], *more) -> DataFrame:

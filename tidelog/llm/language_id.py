@@ -85,7 +85,7 @@ class Classifier:
         return self.coders[best][0], score, (second - sizes[best]) / second
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str = "text", carry=None, min_margin: float = MIN_MARGIN) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str = "text", carry=None, min_margin: float = MIN_MARGIN, with_text: bool = False) -> DataFrame:
     """Every row of `docs` as struct `rest`, with lang_pred, score, margin and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES for each language
 
@@ -99,7 +99,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
 
         return each
 
-    return per_text(docs, text_col, carry, work, "lang_pred string; score double; margin double; rejected boolean")
+    return per_text(docs, text_col, carry, work, "lang_pred string; score double; margin double; rejected boolean", with_text)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +111,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those rejected go. lang stays as given where it is, else it is the one found."""
-    found = identify(docs, fit(docs)).where("NOT rejected")
-    return unpacked(found, docs.columns, "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = identify(docs, fit(docs), carry=[c for c in docs.columns if c != "text"], with_text=True).where("NOT rejected")
+    columns = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return found.select(*columns, "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
