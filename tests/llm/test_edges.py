@@ -133,7 +133,8 @@ def test_anchor_cover_and_blocks(spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 15] + [(3, 3), (2, 1)], "u long, v long")
-    assert {(r[0], r[1]) for r in components(edges).collect()} == {(i, 0 if i <= 15 else 16) for i in range(31)}
+    for hub_rows in (0, 1_000_000):  # salted, and not
+        assert {(r[0], r[1]) for r in components(edges, hub_rows).collect()} == {(i, 0 if i <= 15 else 16) for i in range(31)}
 
 
 def test_decontamination(spark):

@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidelog.llm.common import ensure_checkpoints, look_up_salted
 
+#: So many links (16 bytes each) one task takes in its stride. Where there are more, hubs are dealt to many tasks.
+HUB_ROWS = 1_000_000
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(u, v) links -> (node, root): the smallest node that each linked node can reach. Nodes without links are absent.
 
     Each round every node hands its larger neighbours to its smallest one, then its smaller neighbours
     to the smallest of them, until nothing changes. Lineage is cut by checkpoint() in the shared folder.
     Self links and repeated links change nothing; an empty input gives an empty result.
+    Either join gives the same rows; `hub_rows` only says from how many links on hubs are salted.
     """
     ensure_checkpoints(edges.sparkSession)
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # A hub of a third of all links is dealt to many tasks.
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).withColumn("m", F.least("u", "m")).checkpoint()
-        large = look_up_salted(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).withColumn("m", F.least("u", "m"))
+        if both.count() > hub_rows:
+            joined = look_up_salted(both, least.checkpoint(), ["u"], "v")
+        else:
+            joined = both.join(least.drop("rows"), "u")
+        large = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         handed = large.join(small, "u")
         now = (
