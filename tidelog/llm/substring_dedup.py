@@ -267,8 +267,13 @@ def compress_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def cut_words(window: int, with_text: bool, rest_type: pa.DataType):
-    """Rows in order of (id, documents last): found windows, then the documents that they belong to."""
+def cut_words(window: int, with_text: bool, size: int = 4 << 20):
+    """Rows in order of (id, documents last): found windows, then the documents that they belong to.
+
+    Texts arrive zipped; a batch goes out whenever about `size` bytes of kept text have come together.
+    """
+
+    names = ["rest", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -276,7 +281,13 @@ def cut_words(window: int, with_text: bool, rest_type: pa.DataType):
         for batch in batches:
             ids, checks, kinds, starts, counts = (batch.column(i).to_pylist() for i in range(5))
             zipped = batch.column(5).to_pylist()
-            n_words, n_removed, digest, kept_text, take = [], [], [], [], []
+            made, held_bytes = [], 0
+
+            def packed(made, rest=batch.column(6)):
+                take, n_words, n_removed, digest, *text = zip(*made, strict=True)
+                arrays = [rest.take(pa.array(take)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)]
+                return pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.string()) for x in text)], names=names)
+
             for row, (id_, check, kind, start, count) in enumerate(zip(ids, checks, kinds, starts, counts, strict=True)):
                 if id_ != now:
                     now, held = id_, []
@@ -296,19 +307,14 @@ def cut_words(window: int, with_text: bool, rest_type: pa.DataType):
                 else:
                     kept = words
                 joined = b" ".join(kept)
-                take.append(row)
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                digest.append(hashlib.sha256(joined).hexdigest())
-                if with_text:
-                    kept_text.append(None if text is None else (joined if mine else text).decode())
-            if take:
-                arrays = [batch.column(6).take(pa.array(take)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)]
-                names = ["rest", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    arrays.append(pa.array(kept_text, pa.string()))
-                    names.append("kept_text")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                text_kept = [None if text is None else (joined if mine else text).decode()] if with_text else []
+                made.append((row, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), *text_kept))
+                held_bytes += len(joined)
+                if held_bytes >= size:
+                    yield packed(made)
+                    made, held_bytes = [], 0
+            if made:
+                yield packed(made)
 
     return run
 
@@ -335,7 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A null id has no windows; such rows are dealt by their text's check so that they don't meet in one task.
     dealt = both.repartition(n, F.coalesce("id", F.col("check").cast("long"))).sortWithinPartitions("id", "kind")
     out = f"rest {rest_ddl}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.mapInArrow(cut_words(window, with_text, None), out)
+    return dealt.mapInArrow(cut_words(window, with_text), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
