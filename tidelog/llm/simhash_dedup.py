@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, slices, table, texts_as_bytes
+from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, slices, table, texts_as_bytes, tidied
 from tidelog.llm.components import components
 
 SHINGLE = 4
@@ -72,7 +72,7 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64 bits as a signed long."""
     bound_arrow_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(fingerprint_batches, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(fingerprint_batches), "id long, fp long")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def compare_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): links between distinct fingerprints that join all which chains of close pairs join."""
     n = partitions(distinct.sparkSession)
-    copied = distinct.select("fp").mapInArrow(copy_to_anchors, "anchor long, fp long")
+    copied = distinct.select("fp").mapInArrow(tidied(copy_to_anchors), "anchor long, fp long")
     # Of the anchors with at least two, those with more than a block are cut into blocks by a hash of the fingerprint.
     sizes = copied.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > block)
     cut = copied.join(sizes, "anchor", "left").withColumn("blocks", F.coalesce(F.ceil(2 * F.col("n") / block), F.lit(1)))
@@ -198,7 +198,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "fp",
     )
     ordered = dealt.repartition(n, "grp").sortWithinPartitions("grp", "side")
-    return ordered.mapInArrow(compare_in_blocks, "u long, v long").distinct()
+    return ordered.mapInArrow(tidied(compare_in_blocks), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.llm.common import WordHashes, bound_arrow_batches, mix64, partitions, slices, table, texts_as_bytes
+from tidelog.llm.common import WordHashes, bound_arrow_batches, mix64, partitions, slices, table, texts_as_bytes, tidied
 
 WINDOW = 13
 ROUNDS = 6
@@ -329,19 +329,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound_arrow_batches(spark)
     n = partitions(spark)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = pair.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(name_windows(4 * n, window, rounds), EXCHANGE)
-    found = named.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare_windows, FOUND)
+    named = pair.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(tidied(name_windows(4 * n, window, rounds)), EXCHANGE)
+    found = named.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(compare_windows), FOUND)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     rest_ddl = whole.schema["rest"].dataType.simpleString()
-    zipped = whole.mapInArrow(compress_texts, f"id long, check int, zipped binary, rest {rest_ddl}")
+    zipped = whole.mapInArrow(tidied(compress_texts), f"id long, check int, zipped binary, rest {rest_ddl}")
     both = found.select("id", "check", F.lit(0).alias("kind"), "start", "count").unionByName(
         zipped.select("id", "check", F.lit(1).alias("kind"), "zipped", "rest"), allowMissingColumns=True
     )
     # A null id has no windows; such rows are dealt by their text's check so that they don't meet in one task.
     dealt = both.repartition(n, F.coalesce("id", F.col("check").cast("long"))).sortWithinPartitions("id", "kind")
     out = f"rest {rest_ddl}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.mapInArrow(cut_words(window, with_text), out)
+    return dealt.mapInArrow(tidied(cut_words(window, with_text)), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
