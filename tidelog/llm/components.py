@@ -9,6 +9,15 @@ from tidelog.llm.common import ensure_checkpoints, look_up_salted
 #: So many links (16 bytes each) one task takes in its stride. Where there are more, hubs are dealt to many tasks.
 HUB_ROWS = 1_000_000
 
+#: Checkpoints have files of so many links, but never fewer than `FEW` of them: many small files cost more than they hold.
+FILE_ROWS = 100_000
+FEW = 16
+
+
+def settled(links: DataFrame, n: int) -> DataFrame:
+    """The rows of `links`, about n of them, in a checkpoint of few files."""
+    return links.coalesce(max(FEW, -(-n // FILE_ROWS))).checkpoint()
+
 
 def components(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(u, v) links -> (node, root): the smallest node that each linked node can reach. Nodes without links are absent.
@@ -24,17 +33,18 @@ def components(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).withColumn("m", F.least("u", "m"))
-        if both.count() > hub_rows:
+        n = both.count()
+        if n > hub_rows:
             joined = look_up_salted(both, least.checkpoint(), ["u"], "v")
         else:
             joined = both.join(least.drop("rows"), "u")
         large = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         handed = large.join(small, "u")
-        now = (
+        now = settled(
             handed.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(handed.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct().checkpoint()
+            .where("u <> v").distinct(), n,
         )
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
