@@ -275,6 +275,18 @@ def exact_compare(spark, sf):
     return compare.differences(*altered(spark, sf), "k")
 
 
+@query(f"""WITH {ALTERED}, d AS (SELECT coalesce(o.k, r.k) AS k, CASE WHEN r.k IS NULL THEN 'missing' WHEN o.k IS NULL THEN 'extra' ELSE 'different' END AS kind FROM o FULL OUTER JOIN r ON o.k = r.k
+WHERE o.k IS NULL OR r.k IS NULL OR o.p IS DISTINCT FROM r.p OR o.s IS DISTINCT FROM r.s) SELECT * FROM d ORDER BY k LIMIT 1""")
+def first_difference(spark, sf):
+    return compare.first_difference(*altered(spark, sf), "k")
+
+
+@query(f"""WITH {ALTERED} SELECT *, 'source' AS side FROM (SELECT k, p, s FROM o EXCEPT ALL SELECT k, p, s FROM r) UNION ALL
+SELECT *, 'replica' AS side FROM (SELECT k, p, s FROM r EXCEPT ALL SELECT k, p, s FROM o)""")
+def multiset_difference(spark, sf):
+    return compare.multiset_difference(*altered(spark, sf))
+
+
 @query(f"""WITH {ALTERED}, x AS (SELECT DISTINCT user_id AS k FROM events WHERE event_id >= 100 AND event_id < 5000)
 SELECT x.k, (o.k IS NULL AND r.k IS NULL) OR (o.k IS NOT NULL AND r.k IS NOT NULL AND o.p IS NOT DISTINCT FROM r.p AND o.s IS NOT DISTINCT FROM r.s) AS "equal" FROM x LEFT JOIN o USING (k) LEFT JOIN r USING (k)""")
 def changed_key_compare(spark, sf):

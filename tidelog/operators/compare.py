@@ -36,5 +36,11 @@ def compare_keys(keys: DataFrame, source: DataFrame, replica: DataFrame, key: st
     return keys.join(left, key, "left").join(right, key, "left").select(key, F.col("__x").eqNullSafe(F.col("__y")).alias("equal"))
 
 
+def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of `a`, then of `b`, that the other lacks, counting repeats, with `side` 'source' or 'replica'. Nulls equal each other."""
+    only = {"source": a.exceptAll(b), "replica": b.exceptAll(a)}
+    return only["source"].withColumn("side", F.lit("source")).unionByName(only["replica"].withColumn("side", F.lit("replica")))
+
+
 def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
