@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, language_id, mixing, simhash_dedup, substring_dedup
+from tidelog.llm import decontamination, language_id, mixing, similar_texts, substring_dedup
 from tidelog.llm.common import shared_folder
 
 STAGES = [
     ("language_id", language_id.stage),
-    ("near_dedup", simhash_dedup.stage),
+    ("near_dedup", similar_texts.stage),
     ("substring_dedup", substring_dedup.stage),
     ("decontamination", decontamination.stage),
     ("mixing", mixing.stage),

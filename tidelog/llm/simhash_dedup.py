@@ -225,11 +225,16 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each of op2's components. The pipeline takes the stage of similar_texts."""
+    return one_of_each(docs, near_duplicates(docs))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     """One document of each component: that with the smallest id, of rows that repeat it the one with the least text hash.
 
-    Documents without an id all stay.
+    Documents without an id all stay. `named` has id and component_id.
     """
-    found = near_duplicates(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    found = named.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(found, "doc_id", "left_semi")
     twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
