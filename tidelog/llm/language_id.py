@@ -5,8 +5,9 @@ between words), given to zstandard as raw content. A text is folded likewise, cu
 all of which are encoded with each dictionary; the language with the smallest sum wins, of equal ones the one with
 more training rows. A margin under `MIN_MARGIN` of the second smallest sum is a rejection.
 
-Training takes at most `SAMPLE` documents a language, by a hash of their ids, of at most `SAMPLE_CHARS`
-characters each, from documents with a lang and text whose crc32(id) mod 4 is not 2.
+Training takes at most `SAMPLE` documents a language, by a hash of their ids, from documents with a lang and text
+whose crc32(id) mod 4 is not 2. All of these are counted and may be drawn, however long; of each drawn document the
+first `SAMPLE_CHARS` characters are taken.
 
 Defined cases: null texts and texts without a letter are `und`, with score 0, and rejected; without training rows
 every text is; a null id is held out; rows that repeat an id are judged each by its text.
@@ -43,8 +44,8 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", samp
     """(language, dictionary) in order of falling training rows."""
     spark = docs.sparkSession
     rows = docs.where(~held_out(id_col)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")
-    ).where(f"lang IS NOT NULL AND text IS NOT NULL AND char_length(text) <= {SAMPLE_CHARS}")
+        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), F.col(id_col).alias("id")
+    ).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()), reverse=True)
     if not counts:
         return []
