@@ -6,8 +6,9 @@ its density is characters per tag, adjusted by a logarithm that falls as links o
 of its children's densities. The node of maximum sum is the main text, if its density reaches the least on the path
 from it to body; else the node of maximum sum among those that reach it.
 
-Menus, footers, sidebars, notices, adverts, forms, scripts and reader comments, told by tag, role or the words of
-class and id, count no characters and give no text; a header does so outside an article. An article or main
+Menus, footers, sidebars, notices, adverts, scripts and reader comments, told by tag, role or a class or id whose
+words all say so, count no characters and give no text; a header does so outside an article, and a form unless it
+holds most of the page's text. An article or main
 element around the chosen node takes its place, so that headings beside the body text stay.
 
 Defined cases: null or empty html and pages without text give an empty text; text outside any element belongs to
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.common import per_text, table, unpacked
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -34,7 +35,7 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
     "table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = set("head script style template noscript iframe svg math canvas audio video object embed nav footer aside form button select input textarea dialog menu label fieldset title search".split())
+DROPPED = set("head script style template noscript iframe svg canvas audio video object embed nav footer aside form button select input textarea dialog menu label fieldset title search annotation annotation-xml".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu "
@@ -49,6 +50,11 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
+#: Words that may stand beside a dropped word in a class or id: cookie-banner and related-posts go, social-history stays.
+BESIDE = set("area bar block bottom box button buttons container content footer form header icons inner item items left link links list main outer panel post posts right section site slot top unit wrap wrapper".split())
+#: Headings and paragraphs stay whatever their class; by id, which headings' texts often make, only containers go.
+TEXTS = set("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+CONTAINERS = set("div section ul ol dl details figure table center".split())
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -61,18 +67,25 @@ class Node:
         self.density = self.total = 0.0
 
 
+def names_chrome(token: str) -> bool:
+    words = {w.lower() for w in WORDS.findall(token)}
+    return not words.isdisjoint(DROPPED_WORDS) and words <= DROPPED_WORDS | BESIDE
+
+
 def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
+    """By tag or role, or by a class or id that names nothing but chrome; no id of a section inside an article does."""
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
+        value, kind = m[2] or m[3] or m[4] or "", m[1].lower()
+        if kind == "role":
             if value.strip().lower() in DROPPED_ROLES:
                 return True
-        elif any(w.lower() in DROPPED_WORDS for w in WORDS.findall(value)):
-            return True
+        elif tag not in TEXTS and (kind == "class" or tag in CONTAINERS and not (in_article and tag == "section")):
+            if any(map(names_chrome, value.split())):
+                return True
     return False
 
 
@@ -217,8 +230,21 @@ def render(node: Node) -> str:
     return "\n".join(blocks)
 
 
+def free_forms(root: Node) -> Node:
+    """Let forms that hold most of the page's text count as any other element."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "form" and node.dropped:
+            node.dropped = False
+            node.dropped = 2 * len(render(node)) <= len(render(root))
+        if not node.dropped:
+            todo += [x for x in node.parts if isinstance(x, Node) and (not x.dropped or x.tag == "form")]
+    return root
+
+
 def main_text(page: str | None) -> str:
-    return render(select(measure(parse(page)))) if page else ""
+    return render(select(measure(free_forms(parse(page))))) if page else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", carry=None) -> DataFrame:
