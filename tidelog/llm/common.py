@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -60,6 +61,19 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def parts(text: bytes, size: int = 256 << 10) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes, cut at white space: its words, without a list of all of them."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + size)
+        end = space.end() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that none holds more than `rows` rows or (unless it is one row) `size` bytes of `column`."""
     for batch in batches:
@@ -101,25 +115,30 @@ def bound_arrow_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_BYTES)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what the session has been given.
 
-    Where the session names none, as in local tests, a temporary folder of this machine is set.
+    Where neither is set, a session whose only executor is this process gets a temporary folder; on a cluster, where
+    such a folder would be another one on every machine, that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share. What is written there stays until the folder is cleaned."""
+    return os.path.join(shared_base(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """checkpoint() works after this, in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='tidelog-')}")
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,15 +8,22 @@ without a shared dictionary, and equal word sequences get equal interior symbols
 With each symbol goes its context: the words that suffice to produce it wherever they occur. A window
 of `window` words therefore owns a set of symbols that depends on its words alone; its key is the
 highest of them, leftmost first. Equal windows have equal keys, and one key serves several
-neighbouring windows. Occurrences meet by key in Spark; a 40-bit hash of all words of each window,
+neighbouring windows. Occurrences meet by key in Spark; a 48-bit hash of all words of each window,
 compared only under an equal 64-bit key, verifies it.
 
-Inside an Arrow batch only the smallest document of each window goes to the exchange, since the batch
-itself decides the others: a passage that a third of all documents share adds at most one row per batch.
+Among the windows that a task holds at once only the smallest document of each goes to the exchange, since
+they decide the others themselves: a passage that a third of all documents share adds one row each time. A bucket of
+keys with more than `BUCKET_WINDOWS` windows is not compared at once: its windows are dealt anew, by their
+own hash, to as many buckets as they need, so that a common phrase with ever other surroundings stays bounded.
+
+Memory doesn't grow with the texts: a text is split `PART` bytes at a time, and stretches that overlap by
+a window less a word have the windows of the whole.
 
 Defined cases: a null or empty text has no words and stays; documents with null ids are passed on and
-count as no one's copy; rows that repeat an id are one document for "smaller id" and each is judged;
-texts of fewer words than the window lose nothing; other columns pass through under their own names.
+count as no one's copy; rows that repeat an id are one document for "smaller id" and each is judged by its own text
+(they are told apart by the rank of their texts' hashes); texts of fewer words than the window lose nothing; texts of
+any length are judged whole; an empty table gives an empty table; other columns pass through under their own names,
+whatever these are.
 """
 
 from __future__ import annotations
@@ -26,18 +33,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import WordHashes, bound_arrow_batches, mix64, partitions, slices, table, texts_as_bytes, tidied
+from tidelog.llm.common import WordHashes, bound_arrow_batches, ensure_checkpoints, mix64, partitions, parts, slices, table, texts_as_bytes, tidied
 
 WINDOW = 13
 ROUNDS = 6
 RUN_SALT = np.uint64(0x9E3779B97F4A7C15)
 PAIR_SALT = np.uint64(0xD6E8FEB86659FD93)
 POLY = 0x9FB21C651E98DF25
-OCCURRENCE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("check", "<u2"), ("count", "u1")])
+OCCURRENCE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("variant", "<u4"), ("count", "u1")])
+STRETCH = np.dtype([("doc", "<i8"), ("start", "<u4"), ("variant", "<u4"), ("count", "<u4")])
+TAG_BYTES = 6
+#: Bytes of a text that are split at once, words that are named at once, and windows that a task holds before it deals them out.
+PART = 256 << 10
+PIECE_WORDS = 128 << 10
+HELD_WINDOWS = 640 << 10
+#: Windows of a bucket that are compared at once.
+BUCKET_WINDOWS = 3 << 19
+#: Buckets for each partition.
+BUCKETS = 4
 
 
 class Powers:
@@ -105,11 +121,11 @@ def window_keys(words: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -
     return keys
 
 
-def joined_runs(*same: np.ndarray, start: np.ndarray, limit: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """Heads and lengths of stretches of rows with consecutive starts and equal values, cut at `limit`."""
+def joined_runs(*same: np.ndarray, start: np.ndarray, count: np.ndarray | int = 1, limit: int = 255) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and lengths (in rows) of stretches of rows that follow on each other, with equal values, cut at `limit` rows."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.concatenate([[True], start[1:] != start[:-1] + 1])
+    cut = np.concatenate([[True], start[1:] != (start + count)[:-1]])
     for x in same:
         cut[1:] |= x[1:] != x[:-1]
     head = np.flatnonzero(cut)
@@ -118,169 +134,317 @@ def joined_runs(*same: np.ndarray, start: np.ndarray, limit: int = 255) -> tuple
     return head, np.diff(np.concatenate([head, [len(start)]]))
 
 
-def batch_windows(ids: np.ndarray, texts: list[bytes], window: int, rounds: int, hashes: WordHashes, powers: Powers):
-    """(key, tag, document id, check, start) of every window of a batch, documents in the order of their ids."""
-    parts, docs, sizes, checks = [np.zeros(1, np.uint64)], [], [], []
-    for j in np.argsort(ids, kind="stable"):
-        words = texts[j].split()
-        if len(words) >= window:
-            parts += [hashes.of(words), np.full(1, len(parts), np.uint64)]
-            docs.append(ids[j])
-            sizes.append(len(words))
-            checks.append(xxhash.xxh32_intdigest(texts[j]) & 0xFFFF)
-    if not docs:
-        return None
-    words, size = np.concatenate(parts), np.array(sizes, dtype=np.int32)
-    del parts
-    begin = 1 + np.concatenate([[0], np.cumsum(size[:-1] + 1)])
+def stretches(ids, variants, texts: list[bytes | None], window: int, hashes: WordHashes, size: int = PART, limit: int = PIECE_WORDS):
+    """Lists of (id, variant, first word, word hashes), about `limit` words a list, that have every window of the texts once."""
+    held, words = [], 0
+    for number, variant, text in zip(ids, variants, texts, strict=True):
+        tail, at = np.zeros(0, np.uint64), 0
+        for part in parts(text or b"", size):
+            tail = np.concatenate([tail, hashes.of(part.split())])
+            if len(tail) < window:
+                continue
+            held.append((number, variant, at, tail))
+            words += len(tail)
+            at += len(tail) - window + 1
+            tail = tail[len(tail) - window + 1 :]
+            if words >= limit:
+                yield held
+                held, words = [], 0
+    if held:
+        yield held
+
+
+def windows_of(held: list, window: int, rounds: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(key, tag, document id, variant, start) of every window of some stretches."""
+    pieces, edge = [np.zeros(1, np.uint64)], np.zeros(1, np.uint64)
+    for _, _, _, words in held:
+        edge = edge + np.uint64(1)  # parts the stretches: no window goes across one
+        pieces += [words, edge]
+    size = np.array([len(x[3]) for x in held])
     count = size - window + 1
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), count)
-    start = np.arange(count.sum(), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
-    at = begin.astype(np.int32)[owner] + start
-    keys, tags = window_keys(words, window, rounds)[at], window_hashes(words, window, powers)[at] >> np.uint64(24)
-    return keys, tags, np.array(docs, dtype=np.int64)[owner], np.array(checks, dtype=np.uint16)[owner], start
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(1 + np.cumsum(size + 1) - (size + 1), count) + within
+    words = np.concatenate(pieces)
+    keys, tags = window_keys(words, window, rounds)[at], window_hashes(words, window, powers)[at] >> np.uint64(64 - 8 * TAG_BYTES)
+    docs, variants, first = (np.repeat(np.array([x[i] for x in held], kind), count) for i, kind in ((0, np.int64), (1, np.uint32), (2, np.int64)))
+    return keys, tags, docs, variants, (first + within).astype(np.uint32)
 
 
 def smallest_of_group(keys: np.ndarray, tags: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """True where the document is the smallest with its (key, tag)."""
-    order = np.lexsort((docs, tags, keys))
+    order = np.argsort(mix64(keys + tags * PAIR_SALT))
     k, t, d = keys[order], tags[order], docs[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
     least = np.empty(len(d), dtype=bool)
-    least[order] = d == d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    least[order] = d == np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
     return least
 
 
-EXCHANGE = "bucket int, blob binary"
-FOUND = "id long, check int, start long, count int"
-FOUND_ARROW = pa.schema([("id", pa.int64()), ("check", pa.int32()), ("start", pa.int64()), ("count", pa.int32())])
+EXCHANGE = "bucket int, kind int, n long, blob binary"
+EXCHANGE_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
+#: Kinds of rows in an exchange, in the order in which they are read: windows to compare, windows found (by the bucket of
+#: their document), windows of an overfull bucket, documents.
+COMPARE, FOUND, AGAIN, DOCUMENT = range(4)
 
 
-def found_batch(docs, checks, start) -> pa.RecordBatch:
-    order = np.lexsort((start, checks, docs))
-    docs, checks, start = docs[order], checks[order], start[order].astype(np.int64)
-    head, length = joined_runs(docs, checks, start=start, limit=1 << 30)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs[head]), pa.array(checks[head].astype(np.int32)), pa.array(start[head]), pa.array(length.astype(np.int32))], schema=FOUND_ARROW
-    )
+def exchange_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(EXCHANGE_ARROW)], schema=EXCHANGE_ARROW)
+
+
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def planes(table: np.ndarray) -> bytes:
+    """The bytes of a table's columns, those of the same weight together, which compress better."""
+    return b"".join(np.ascontiguousarray(table[f]).view(np.uint8).reshape(len(table), -1).T.tobytes() for f in table.dtype.names)
 
 
-def pack(keys, tags, docs, checks, start) -> bytes:
-    """Occurrences of one bucket in order of their keys, then five bytes for each window."""
-    head, length = joined_runs(keys, docs, start=start)
+def from_planes(body: bytes, kind: np.dtype, n: int, at: int) -> tuple[np.ndarray, int]:
+    table = np.empty(n, kind)
+    for f in kind.names:
+        width = kind[f].itemsize
+        table[f] = np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).view(kind[f]).ravel()
+        at += n * width
+    return table, at
+
+
+def pack(keys, tags, docs, variants, start) -> bytes:
+    """Occurrences of one bucket in order of their keys, then the tag of each window."""
+    head, length = joined_runs(keys, docs, variants, start=start)
     order = np.argsort(keys[head], kind="stable")
     table = np.empty(len(head), dtype=OCCURRENCE)
-    for field, values in (("key", keys), ("doc", docs), ("start", start), ("check", checks)):
+    for field, values in (("key", keys), ("doc", docs), ("start", start), ("variant", variants)):
         table[field] = values[head][order]
     table["count"] = length[order]
     rows = np.repeat(head[order] - np.cumsum(length[order]) + length[order], length[order]) + np.arange(length.sum())
-    columns = [np.ascontiguousarray(table[f]).view(np.uint8).reshape(len(head), -1).T.tobytes() for f in OCCURRENCE.names]
-    body = b"".join([len(head).to_bytes(4, "little"), *columns, tags[rows].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()])
+    body = b"".join([len(head).to_bytes(4, "little"), planes(table), tags[rows].view(np.uint8).reshape(-1, 8)[:, :TAG_BYTES].tobytes()])
     return zstandard.compress(body, 1)
 
 
-def unpack(blob: bytes):
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     body = zstandard.decompress(blob)
-    n, at = int.from_bytes(body[:4], "little"), 4
-    out = {}
-    for f in OCCURRENCE.names:
-        width = OCCURRENCE[f].itemsize
-        planes = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T
-        out[f] = np.ascontiguousarray(planes).view(OCCURRENCE[f]).ravel()
-        at += n * width
+    out, at = from_planes(body, OCCURRENCE, int.from_bytes(body[:4], "little"), 4)
     count = out["count"].astype(np.int64)
     tags = np.zeros((count.sum(), 8), np.uint8)
-    tags[:, :5] = np.frombuffer(body, np.uint8, count.sum() * 5, at).reshape(-1, 5)
+    tags[:, :TAG_BYTES] = np.frombuffer(body, np.uint8, count.sum() * TAG_BYTES, at).reshape(-1, TAG_BYTES)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    repeated = {f: np.repeat(out[f], count) for f in ("key", "doc", "check", "start")}
-    return repeated["key"], tags.view(np.uint64).ravel(), repeated["doc"], repeated["check"], repeated["start"].astype(np.int64) + inner
-
-
-def name_windows(buckets: int, window: int, rounds: int):
-    """Arrow batches of (id, text) -> blobs of windows by bucket of their key; with bucket -1, windows already found."""
+    repeated = {f: np.repeat(out[f], count) for f in ("key", "doc", "variant", "start")}
+    return repeated["key"], tags.view(np.uint64).ravel(), repeated["doc"], repeated["variant"], (repeated["start"] + inner).astype(np.uint32)
+
+
+def stretch_table(docs, variants, start, count=1) -> np.ndarray:
+    """Windows, or stretches of them, as joined stretches in order of (document, variant, start)."""
+    order = np.lexsort((start, variants, docs))
+    table = np.empty(len(order), STRETCH)
+    for field, values in (("doc", docs), ("variant", variants), ("start", start)):
+        table[field] = values[order]
+    table["count"] = count if np.isscalar(count) else count[order]
+    head, _ = joined_runs(table["doc"], table["variant"], start=table["start"], count=table["count"], limit=1 << 30)
+    joined = table[head]
+    if len(head):
+        joined["count"] = np.add.reduceat(table["count"], head)
+    return joined
+
+
+class Found:
+    """Windows found so far, given out by the bucket of their document."""
+
+    def __init__(self, buckets: int, limit: int = HELD_WINDOWS):
+        self.buckets, self.limit, self.held, self.n = buckets, limit, [], 0
+
+    def add(self, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(table)
+        self.n += len(table)
+        if self.n >= self.limit:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        table = np.concatenate(self.held)
+        self.held, self.n = [], 0
+        table = stretch_table(table["doc"], table["variant"], table["start"], table["count"])
+        bucket = bucket_of(mix64(table["doc"].view(np.uint64)), self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+        rows = []
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            rows.append((int(bucket[order[a]]), FOUND, b - a, zstandard.compress(planes(table[order[a:b]]), 1)))
+        yield exchange_rows(rows)
+
+
+def dealt_windows(got: tuple[np.ndarray, ...], bucket: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Rows for the exchange: the windows of each bucket packed together."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
+    out = []
+    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        rows = order[a:b]
+        out.append((int(bucket[rows[0]]), COMPARE, b - a, pack(*(x[rows] for x in got))))
+    return out
+
+
+def name_windows(buckets: int, window: int, rounds: int, held_windows: int = HELD_WINDOWS):
+    """Arrow batches of (id, variant, text) -> windows by bucket of their key, and windows already found, in any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
-        schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-        turn = 0
-        for batch in slices(batches, "text"):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            got = batch_windows(ids, texts_as_bytes(batch.column(1)), window, rounds, hashes, powers)
-            if got is None:
-                continue
+        hashes, powers, turn = WordHashes(), Powers(), 0
+
+        def deal(held):
+            got = tuple(np.concatenate(x) for x in zip(*held, strict=True))
             least = smallest_of_group(*got[:3])
-            numbers, blobs = [], []
             if not least.all():
-                decided = found_batch(*(x[~least] for x in got[2:]))
-                turn += 1
-                numbers.append(-1 - (turn * 7919 + int(ids[0])) % buckets)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, decided.schema) as writer:
-                    writer.write_batch(decided)
-                blobs.append(zstandard.compress(sink.getvalue(), 1))
-            keys, tags, docs, checks, start = (x[least] for x in got)
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-                rows = order[a:b]
-                numbers.append(int(bucket[rows[0]]))
-                blobs.append(pack(keys[rows], tags[rows], docs[rows], checks[rows], start[rows]))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+                table = stretch_table(*(x[~least] for x in got[2:]))
+                yield exchange_rows([((turn * 7919 + int(got[2][0])) % buckets, FOUND, len(table), zstandard.compress(planes(table), 1))])
+            got = tuple(x[least] for x in got)
+            yield exchange_rows(dealt_windows(got, bucket_of(got[0], buckets)))
+
+        held, n = [], 0
+        for batch in slices(batches, "text"):
+            ids, variants = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.argsort(ids, kind="stable")
+            texts = batch.column(2)
+            each = (texts_as_bytes(texts.slice(int(j), 1))[0] for j in order)
+            for some in stretches(ids[order].tolist(), variants[order].tolist(), each, window, hashes):
+                held.append(windows_of(some, window, rounds, powers))
+                n += len(held[-1][0])
+                if n >= held_windows:
+                    yield from deal(held)
+                    held, n, turn = [], 0, turn + 1
+        if held:
+            yield from deal(held)
 
     return run
 
 
-def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs in the order of their buckets -> windows that also start in a smaller document. Holds one bucket at a time."""
+def compare_windows(buckets: int, limit: int):
+    """Rows in the order of their buckets -> windows that also start in a smaller document; buckets of more than `limit` windows as they came."""
 
-    def judged(parts):
-        keys, tags, docs, checks, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        least = smallest_of_group(keys, tags, docs)
-        return found_batch(docs[~least], checks[~least], start[~least])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found(buckets)
 
-    now, parts = None, []
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket < 0:
-                with pa.ipc.open_stream(zstandard.decompress(blob)) as reader:
-                    yield from reader
-                continue
-            if bucket != now and parts:
-                yield judged(parts)
-                parts = []
-            now = bucket
-            parts.append(unpack(blob))
-    if parts:
-        yield judged(parts)
-
-
-def compress_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, check, zipped text, rest) of documents, for the exchange by id."""
-    packer = zstandard.ZstdCompressor(level=6)
-    for batch in slices(batches, "text"):
-        texts = texts_as_bytes(batch.column(1))
-        checks = [None if x is None else xxhash.xxh32_intdigest(x) & 0xFFFF for x in texts]
-        zipped = [None if x is None else packer.compress(x) for x in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(checks, pa.int32()), pa.array(zipped, pa.binary()), batch.column(2)], names=["id", "check", "zipped", "rest"]
-        )
+        def judged(blobs):
+            keys, tags, docs, variants, start = (np.concatenate(x) for x in zip(*(unpack(blob) for _, blob in blobs), strict=True))
+            least = smallest_of_group(keys, tags, docs)
+            return stretch_table(docs[~least], variants[~least], start[~least])
+
+        now, blobs, windows = None, [], 0
+        for batch in batches:
+            for bucket, kind, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if kind == FOUND:
+                    yield from found.add(from_planes(zstandard.decompress(blob), STRETCH, n, 0)[0])
+                    continue
+                if bucket != now:
+                    if blobs:
+                        yield from found.add(judged(blobs))
+                    now, blobs, windows = bucket, [], 0
+                windows += n
+                blobs.append((n, blob))
+                if windows > limit:
+                    yield exchange_rows([(bucket, AGAIN, *x) for x in blobs])
+                    blobs = []
+        if blobs:
+            yield from found.add(judged(blobs))
+        yield from found.rest()
+
+    return run
+
+
+def deal_by_window(buckets: int):
+    """Windows of overfull buckets -> the same, by bucket of their own hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(3).to_pylist():
+                got = unpack(blob)
+                yield exchange_rows(dealt_windows(got, bucket_of(mix64(got[0] + got[1] * PAIR_SALT), buckets)))
+
+    return run
+
+
+def found_windows(pairs: DataFrame, window: int, rounds: int, limit: int = BUCKET_WINDOWS, held_windows: int = HELD_WINDOWS) -> DataFrame:
+    """(id, variant, text) -> rows of kind FOUND: stretches of windows that also start in a document of smaller id, by bucket of the id."""
+    spark = pairs.sparkSession
+    ensure_checkpoints(spark)
+    n = partitions(spark)
+    buckets = BUCKETS * n
+
+    def compared(rows, most):
+        return rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket").mapInArrow(tidied(compare_windows(buckets, most)), EXCHANGE)
+
+    named = pairs.mapInArrow(tidied(name_windows(buckets, window, rounds, held_windows)), EXCHANGE)
+    first = compared(named, limit).checkpoint()
+    again = first.where(F.col("kind") == AGAIN)
+    windows = again.agg(F.sum("n").alias("n")).first()["n"]
+    found = first.where(F.col("kind") == FOUND)
+    if windows is None:
+        return found
+    # Equal windows go to one bucket, and of them each task has sent one: these buckets are as even as hashes are.
+    more = max(n, 2 * -(-int(windows) // limit))
+    dealt = again.mapInArrow(tidied(deal_by_window(more)), EXCHANGE)
+    return found.unionByName(compared(dealt, 1 << 62))
+
+
+def compress_texts(buckets: int):
+    """(id, variant, text, rest) of documents -> the same with the text zipped, by bucket of the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = zstandard.ZstdCompressor(level=6), 0
+        for batch in slices(batches, "text"):
+            ids = batch.column(0)
+            bucket = bucket_of(mix64(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)), buckets)
+            # A null id has no windows; such rows are dealt in turn.
+            bucket = np.where(ids.is_null().to_numpy(zero_copy_only=False), (seen + np.arange(len(bucket))) % buckets, bucket)
+            seen += len(bucket)
+            texts = batch.column(2)
+            zipped = [None if x is None else packer.compress(x) for x in texts_as_bytes(texts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.int32()), ids, batch.column(1), pa.array(zipped, pa.binary()), batch.column(3)], names=["bucket", "id", "variant", "zipped", "rest"]
+            )
+
+    return run
+
+
+def cut_text(text: bytes, found: np.ndarray, window: int, with_text: bool) -> tuple[int, int, str, str | None]:
+    """(words, removed words, SHA-256 and text of the words kept) of a text of which the windows of `found` go."""
+    start = found["start"].astype(np.int64)
+    stop = start + found["count"] + window - 1
+    edge = np.zeros(int(stop.max(initial=0)) + 1, dtype=np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, stop, -1)
+    gone = np.cumsum(edge, dtype=np.int32)[:-1] > 0
+    n, digest, pieces, between = 0, hashlib.sha256(), [], b""
+    for part in parts(text, PART):
+        words = part.split()
+        here = gone[n : n + len(words)]
+        n += len(words)
+        if here.any():
+            words = [w for w, x in zip(words, here.tolist(), strict=False) if not x] + words[len(here) :]
+        if words:
+            digest.update(between + (piece := b" ".join(words)))
+            between = b" "
+            if with_text and len(found):
+                pieces.append(piece)
+    kept = None if not with_text else b" ".join(pieces) if len(found) else text
+    return n, int(gone.sum()), digest.hexdigest(), None if kept is None else kept.decode()
 
 
 def cut_words(window: int, with_text: bool, size: int = 4 << 20):
-    """Rows in order of (id, documents last): found windows, then the documents that they belong to.
+    """Rows in order of (bucket, kind): found windows, then the documents that they belong to. Holds the windows of one bucket.
 
-    Texts arrive zipped; a batch goes out whenever about `size` bytes of kept text have come together.
+    Texts arrive zipped; a batch goes out whenever about `size` bytes of text have come together.
     """
 
     names = ["rest", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        now, held = None, []
+        now, held, docs = None, [], None
+        nothing = np.zeros(0, STRETCH)
         for batch in batches:
-            ids, checks, kinds, starts, counts = (batch.column(i).to_pylist() for i in range(5))
-            zipped = batch.column(5).to_pylist()
+            buckets, kinds, ns = (batch.column(i).to_pylist() for i in range(3))
+            blobs, ids, variants = (batch.column(i) for i in (3, 4, 5))
             made, held_bytes = [], 0
 
             def packed(made, rest=batch.column(6)):
@@ -288,28 +452,25 @@ def cut_words(window: int, with_text: bool, size: int = 4 << 20):
                 arrays = [rest.take(pa.array(take)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)]
                 return pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.string()) for x in text)], names=names)
 
-            for row, (id_, check, kind, start, count) in enumerate(zip(ids, checks, kinds, starts, counts, strict=True)):
-                if id_ != now:
-                    now, held = id_, []
-                if kind == 0:
-                    held.append((check, start, count))
+            for row, (bucket, kind, n) in enumerate(zip(buckets, kinds, ns, strict=True)):
+                if bucket != now:
+                    now, held, docs = bucket, [], None
+                blob = blobs[row].as_py()
+                if kind == FOUND:
+                    held.append(from_planes(zstandard.decompress(blob), STRETCH, n, 0)[0])
                     continue
-                text = unzip.decompress(zipped[row]) if zipped[row] is not None else None
-                words = text.split() if text else []
-                mine = [(s, c) for k, s, c in held if k == check] if id_ is not None else []
-                if mine:
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    s = np.array(mine)
-                    np.add.at(edge, s[:, 0], 1)
-                    np.add.at(edge, s[:, 0] + s[:, 1] + window - 1, -1)
-                    stay = np.cumsum(edge)[:-1] == 0
-                    kept = [w for w, x in zip(words, stay.tolist(), strict=True) if x]
-                else:
-                    kept = words
-                joined = b" ".join(kept)
-                text_kept = [None if text is None else (joined if mine else text).decode()] if with_text else []
-                made.append((row, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), *text_kept))
-                held_bytes += len(joined)
+                if docs is None:
+                    known = np.concatenate([*held, nothing])
+                    known, held = known[np.argsort(known["doc"], kind="stable")], []
+                    docs = np.ascontiguousarray(known["doc"])
+                number, text = ids[row].as_py(), None if blob is None else unzip.decompress(blob)
+                mine = nothing
+                if number is not None and len(docs):
+                    mine = known[np.searchsorted(docs, number) : np.searchsorted(docs, number, side="right")]
+                    mine = mine[mine["variant"] == variants[row].as_py()]
+                n_words, removed, digest, kept = cut_text(text or b"", mine, window, with_text)
+                made.append((row, n_words, removed, digest, *[None if text is None else kept] * with_text))
+                held_bytes += len(text or b"")
                 if held_bytes >= size:
                     yield packed(made)
                     made, held_bytes = [], 0
@@ -319,27 +480,38 @@ def cut_words(window: int, with_text: bool, size: int = 4 << 20):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = True) -> DataFrame:
+def with_variants(docs: DataFrame) -> DataFrame:
+    """`docs` (id, text and more) with `variant`: 0, or where rows of an id have several texts the rank of their text's hash."""
+    marks = docs.select("id", F.xxhash64("text").alias("mark")).where("id IS NOT NULL")
+    several = marks.groupBy("id").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most").select("id")
+    if several.isEmpty():
+        return docs.withColumn("variant", F.lit(0).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("mark")).cast("long")
+    ranks = marks.join(several, "id", "left_semi").distinct().withColumn("variant", rank)
+    named = ranks.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "variant")
+    joined = docs.join(named, (F.col("id") == F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left")
+    return joined.withColumn("variant", F.coalesce("variant", F.lit(0).cast("long"))).drop("__id", "__mark")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = True, **limits) -> DataFrame:
     """Every row of `docs` as struct `rest` (its columns but the text), with n_words, n_removed, kept_sha256 and kept_text.
 
     Removed is each word covered by a window whose words also start in a document with a smaller id.
-    kept_text is the text itself where nothing was removed, else the kept words joined by one space.
+    kept_text is the text itself where nothing was found in it, else the kept words joined by one space.
     """
     spark = docs.sparkSession
     bound_arrow_batches(spark)
+    ensure_checkpoints(spark)
     n = partitions(spark)
-    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = pair.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(tidied(name_windows(4 * n, window, rounds)), EXCHANGE)
-    found = named.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(compare_windows), FOUND)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    whole = with_variants(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest")))
+    found = found_windows(whole.where("id IS NOT NULL AND text IS NOT NULL").select("id", "variant", "text"), window, rounds, **limits)
     rest_ddl = whole.schema["rest"].dataType.simpleString()
-    zipped = whole.mapInArrow(tidied(compress_texts), f"id long, check int, zipped binary, rest {rest_ddl}")
-    both = found.select("id", "check", F.lit(0).alias("kind"), "start", "count").unionByName(
-        zipped.select("id", "check", F.lit(1).alias("kind"), "zipped", "rest"), allowMissingColumns=True
+    zipped = whole.select("id", "variant", "text", "rest").mapInArrow(tidied(compress_texts(BUCKETS * n)), f"bucket int, id long, variant long, zipped binary, rest {rest_ddl}")
+    both = found.select("bucket", "kind", "n", "blob").unionByName(
+        zipped.select("bucket", F.lit(DOCUMENT).alias("kind"), F.lit(0).cast("long").alias("n"), F.col("zipped").alias("blob"), "id", "variant", "rest"), allowMissingColumns=True
     )
-    # A null id has no windows; such rows are dealt by their text's check so that they don't meet in one task.
-    dealt = both.repartition(n, F.coalesce("id", F.col("check").cast("long"))).sortWithinPartitions("id", "kind")
+    dealt = both.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket", "kind")
     out = f"rest {rest_ddl}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return dealt.mapInArrow(tidied(cut_words(window, with_text)), out)
 
@@ -351,11 +523,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; those of which no word is left go."""
-    cut = remove_repeats(docs)
-    left = cut.where("n_removed = 0 OR n_removed < n_words").select("rest.*", F.col("kept_text").alias("text"), "n_removed")
+    left = remove_repeats(docs).where("n_removed = 0 OR n_removed < n_words")
+    shorter = F.when(F.col("n_removed") > 0, F.length("kept_text"))
+    made = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+        made["n_chars"] = F.coalesce(shorter, F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
