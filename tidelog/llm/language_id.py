@@ -1,27 +1,29 @@
 """Language ID by compression classification.
 
-Each language's dictionary is up to `DICT_BYTES` of folded training text (lower case, letters only, one space
-between words), given to zstandard as raw content. A text is folded likewise, cut into blocks of `BLOCK` bytes,
+Each language's dictionary is up to `DICT_BYTES` of folded training text (lower case, letters and their marks only, one
+space between words), given to zstandard as raw content. A text is folded likewise, cut into blocks of `BLOCK` bytes,
 all of which are encoded with each dictionary; the language with the smallest sum wins, of equal ones the one with
 more training rows. A margin under `MIN_MARGIN` of the second smallest sum is a rejection.
 
 Training takes at most `SAMPLE` documents a language, by a hash of their ids, from documents with a lang and text
 whose crc32(id) mod 4 is not 2. All of these are counted and may be drawn, however long; of each drawn document the
-first `SAMPLE_CHARS` characters are taken.
+first `SAMPLE_CHARS` characters are taken. Each language costs a dictionary and an encoding of every text; more than
+`LANGUAGES` of them raise an error.
 
-Defined cases: null texts and texts without a letter are `und`, with score 0, and rejected; without training rows
-every text is; a null id is held out; rows that repeat an id are judged each by its text.
+Defined cases: null and empty texts and texts without a letter are `und`, with score 0, and rejected; without training rows
+(as of an empty table) every text is; a null id is held out; rows that repeat an id are judged each by its text; of tied
+languages the one with more training rows wins, with margin 0; whole texts are judged, however long, a part at a time; an
+empty table gives an empty table; other columns pass through in `rest` under their own names, whatever these are.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import per_text, table, unpacked
+from tidelog.llm.common import parts, per_text, table, unpacked
 
 SAMPLE = 120
 SAMPLE_CHARS = 4000
@@ -29,11 +31,14 @@ DICT_BYTES = 32 << 10
 BLOCK = 1024
 LEVEL = 6
 MIN_MARGIN = 0.002
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+LANGUAGES = 1000
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def fold(text: str) -> bytes:
-    return b" " + NOT_LETTERS.sub(" ", text.lower()).strip().encode() + b" "
+    """Letters and their marks between spaces; two spaces for a text without a letter."""
+    return b" " + NOT_LETTERS.sub(" ", text.lower()).strip().encode() + b" " if LETTER.search(text) else b"  "
 
 
 def held_out(id_col: str = "doc_id"):
@@ -46,7 +51,9 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", samp
     rows = docs.where(~held_out(id_col)).select(
         F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), F.col(id_col).alias("id")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()), reverse=True)
+    counts = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()), reverse=True)
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for n, lang in counts for x in (lang, min(1.0, 4.0 * sample / n))])
@@ -57,7 +64,8 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", samp
     texts: dict[str, list] = {}
     for r in sorted(picked, key=lambda r: r["rank"]):
         texts.setdefault(r["lang"], []).append(fold(r["text"]))
-    return [(lang, b"".join(texts[lang])[:DICT_BYTES]) for _, lang in counts if b"".join(texts.get(lang, [])).strip()]
+    whole = {lang: b"".join(found)[:DICT_BYTES].decode(errors="ignore").encode() for lang, found in texts.items()}  # no half character at the end
+    return [(lang, whole[lang]) for _, lang in counts if whole.get(lang, b"").strip()]
 
 
 class Classifier:
@@ -71,13 +79,18 @@ class Classifier:
             data.precompute_compress(compression_params=parameters)
             self.coders.append((lang, zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)))
 
-    def __call__(self, text: str | None) -> tuple[str, float, float]:
+    def __call__(self, text: bytes | None) -> tuple[str, float, float]:
         """(language, score, margin as a share of the second smallest sum)."""
-        folded = fold(text) if text else b"  "
-        if folded == b"  " or not self.coders:
+        sizes, letters = [0] * len(self.coders), False
+        for part in parts(text or b""):
+            folded = fold(part.decode())
+            if folded != b"  ":
+                letters = True
+                blocks = [folded[i : i + BLOCK] for i in range(0, len(folded), BLOCK)]
+                for i, (_, coder) in enumerate(self.coders):
+                    sizes[i] += sum(len(coder.compress(b)) for b in blocks)
+        if not letters or not self.coders:
             return "und", 0.0, 0.0
-        blocks = [folded[i : i + BLOCK] for i in range(0, len(folded), BLOCK)]
-        sizes = [sum(len(coder.compress(b)) for b in blocks) for _, coder in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.coders[0][0], 1.0, 1.0
@@ -94,7 +107,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: s
         judge = Classifier(shared.value)
 
         def each(texts):
-            found = [judge(None if x is None else x.decode()) for x in texts]
+            found = [judge(x) for x in texts]
             reject = [lang == "und" or margin < min_margin for lang, _, margin in found]
             return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array(reject, pa.bool_())]
 
@@ -113,5 +126,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those rejected go. lang stays as given where it is, else it is the one found."""
     found = identify(docs, fit(docs), carry=[c for c in docs.columns if c != "text"], with_text=True).where("NOT rejected")
-    columns = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
-    return found.select(*columns, "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    made = {"text": F.col("text"), "lang": F.coalesce("rest.lang", "lang_pred")}
+    return found.select(*[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
