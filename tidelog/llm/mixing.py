@@ -12,9 +12,11 @@ in order of their keys until the words run out, the last of them in part.
 The prefix sums don't need a source in one task: keys fall into at least `BUCKETS` ranges of even probability, range
 sums are aggregated on the map side, and only rows of one range of one source are sorted together.
 
-Defined cases: a null text has size 0 and nothing is taken of it; a null source is a source of its own;
-without an id the text's hash stands for it; rows that repeat an id are each a document; a source without
-words has target 0.
+Defined cases: a null or empty text has size 0 and nothing is taken of it; a null source is a source of its own;
+without an id the text's hash stands for it; rows that repeat an id are each a document (of equal keys the smaller id
+and size come first, and equal rows in any order); a source without words has target 0; a text longer than what is left
+of its source's target is taken in part; an empty table gives an empty table; other columns pass through in `rest`
+under their own names.
 """
 
 from __future__ import annotations
@@ -85,9 +87,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size, target and taken words."""
-    mixed = mix(docs).where("taken > 0")
-    return mixed.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns], "size", "source_size", "target", "taken")
+    """The documents that the mix takes, with their size, target and taken words. A column of that name becomes document_<name>."""
+    made = ("size", "source_size", "target", "taken")
+    own = [F.col("rest").getField(c).alias(f"document_{c}" if c.lower() in made else c) for c in docs.columns]
+    return mix(docs).where("taken > 0").select(*own, *made)
 
 
 ORACLE_SQL = r"""
