@@ -1,7 +1,8 @@
 """Nearest neighbours by a block matrix join.
 
-Queries go to the executors in blocks of at most `QUERY_BLOCK` rows, each block a broadcast of bounded size and one
-pass over all candidates; the candidates are never shuffled. In a task, tiles of candidates and the query block are
+Queries go to the executors in blocks of about `QUERY_BLOCK` rows, one after the other: each block is a broadcast of
+bounded size and one pass over all candidates, whose heaps are written to the shared folder before the next block comes.
+Neither driver nor plan grows with the queries, and the candidates are never shuffled. In a task, tiles of candidates and the query block are
 coded in int8 with a scale for each vector. Their products give squared distances whose error the norms of the
 rounding residues bound (Cauchy-Schwarz). A pair survives if its least possible distance doesn't exceed the k-th
 smallest greatest possible one of its query; survivors are computed anew in double precision from the original
@@ -9,7 +10,8 @@ vectors, term by term, and go to the query's heap. The heaps of all tasks are me
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; only
 vectors of equal length are compared; a null id takes no part; a query doesn't find rows of its own id, and of rows
-that repeat another id the nearest counts; ties go to the smaller id.
+that repeat another id the nearest counts; ties go to the smaller id; an empty table or no query gives no rows; vectors
+of any length are compared whole; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import partitions, table
+from tidelog.llm.common import partitions, shared_folder, table
 
 K = 10
 QUERY_BLOCK = 8192
@@ -182,7 +184,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
     rows = candidates.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
     blocks = max(1, -(-asked.count() * 5 // (4 * query_block)))
-    found = None
+    folder = shared_folder(spark, "neighbours")
     for number in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow().combine_chunks().to_batches()
         ready = usable(block[0].column(0), block[0].column(1)) if block else {}
@@ -191,8 +193,13 @@ def nearest(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
             order = np.lexsort((*matrix.T[::-1], ids))
             first = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
             ready[size] = (ids[first], matrix[first])
-        part = rows.mapInArrow(search(spark.sparkContext.broadcast(ready), k, TILE), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+        shared = spark.sparkContext.broadcast(ready)
+        found = rows.mapInArrow(search(shared, k, TILE), "query_id long, vec_id long, score double")
+        if blocks > 1:  # each block is done with before the next comes to the driver
+            found.write.mode("append").parquet(folder)
+            shared.destroy()
+    if blocks > 1:
+        found = spark.read.parquet(folder)
     dealt = found.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id")
     return dealt.mapInArrow(merge_heaps(k), "query_id long, rank int, vec_id long, score double")
 
