@@ -7,12 +7,14 @@ payload and block digests. Of equal payloads of at least `MIN_PAYLOAD` bytes the
 response; the others are revisits with headers only.
 
 Archives are written by Spark's text writer, whose line separator is the end of a WARC record, so any store that
-Spark can write to holds them and a lost task is written anew. They are read back as binary files, one at a time.
+Spark can write to holds them and a lost task is written anew. They are read back as binary files, one at a time; large
+payloads go to files of few records, so that a file stays small. A revisit refers to its response by its identifier, URL and date.
 
 Defined cases: null and empty payloads are records of no bytes; a row without an id is a response and no one refers to
 it; rows that repeat an id with the same payload are alike (all responses if theirs is the largest id, else all
 revisits); a URL that is null or has white space is written with %-escapes; a record whose declared length runs past
-the archive raises an error.
+the archive raises an error; payloads of any length are written whole; an empty table gives archives without
+records and no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ ARC_FIELDS = {
 }
 #: The capture date that pages without one are given.
 CAPTURED = "20200101000000"
-RECORDS_PER_FILE = 5000
+#: Payloads up to so many bytes go to files of so many records: a file holds 256 MB of payloads at most, or a single larger one.
+FILES = ((1 << 16, 1 << 12), (1 << 20, 1 << 8), (1 << 24, 1 << 4), (1 << 40, 1))
 
 
 def arc_record(fields: dict[str, str], payload: bytes, version: int = 1) -> bytes:
@@ -108,32 +111,33 @@ def warc_record(head: dict[str, str], block: bytes) -> bytes:
 
 def read_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of the records of an archive that comes in pieces."""
-    held = b""
-    pieces = iter(pieces)
+    held, at, pieces = bytearray(), 0, iter(pieces)
 
     def more() -> bool:
-        nonlocal held
+        nonlocal at
         piece = next(pieces, None)
         if piece is None:
             return False
-        held += piece
+        del held[:at]  # what has been read goes when something comes, not record by record
+        at = 0
+        held.extend(piece)
         return True
 
     while True:
-        while END not in held and more():
+        while (end := held.find(END, at)) < 0 and more():
             pass
-        if not held.strip():
+        if end < 0:
+            if bytes(held[at:]).strip():
+                raise ValueError("WARC header without its end")
             return
-        head, _, rest = held.partition(END)
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        size = int(fields["Content-Length"])
-        held = rest
-        while len(held) < size + len(END) and more():
+        fields = dict(line.split(": ", 1) for line in held[at:end].decode().split("\r\n")[1:])
+        size, at = int(fields["Content-Length"]), end + len(END)
+        while len(held) < at + size + len(END) and more():
             pass
-        if held[size : size + len(END)] != END:
+        if held[at + size : at + size + len(END)] != END:
             raise ValueError(f"WARC record of {size} bytes without its end")
-        yield fields, held[:size]
-        held = held[size + len(END) :]
+        yield fields, bytes(held[at : at + size])
+        at += size + len(END)
 
 
 def unzipped(archive: bytes) -> Iterator[bytes]:
@@ -163,7 +167,11 @@ def to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (fields, payload), number, kind, to in zip(read_arc(bytes(segment)), ids, kinds, refers, strict=True):
             head = warc_head(fields, payload, {"X-Page-ID": "" if number is None else str(number), "X-Payload-Length": str(len(payload))})
             if kind == "revisit":
-                head |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": str(to)}
+                original = warc_head(fields | {"url": escaped(to["url"])}, payload, {"X-Page-ID": str(to["id"]), "X-Payload-Length": str(len(payload))})
+                head |= {
+                    "WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": original["WARC-Record-ID"],
+                    "WARC-Refers-To-Target-URI": original["WARC-Target-URI"], "WARC-Refers-To-Date": original["WARC-Date"], "X-Refers-To-Page-ID": str(to["id"]),
+                }
                 payload = b""
             out.append(warc_record(head, payload))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
@@ -194,20 +202,25 @@ def convert(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    long_enough = rows.where(f"id IS NOT NULL AND octet_length(payload) >= {MIN_PAYLOAD}").select("id", "digest")
+    long_enough = rows.where(f"id IS NOT NULL AND octet_length(payload) >= {MIN_PAYLOAD}").select("id", "url", "digest")
     # Sums by digest combine on the map side. A payload that a third of all rows have is dealt to many tasks, and the
     # join after that is by id.
     ensure_checkpoints(pages.sparkSession)
-    groups = long_enough.groupBy("digest").agg(F.max("id").alias("last"), F.min("id").alias("first"), F.count("*").alias("rows"))
-    groups = groups.where("first < last").select("digest", "last", "rows").checkpoint()
-    revisits = look_up_salted(long_enough, groups, ["digest"], "id").where("id < last").select("id", "digest", "last").distinct()
+    groups = long_enough.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("last"), F.min("id").alias("first"), F.count("*").alias("rows"))
+    groups = groups.where("first < last.id").select("digest", "last", "rows").checkpoint()
+    revisits = look_up_salted(long_enough.select("id", "digest"), groups, ["digest"], "id").where("id < last.id").select("id", "digest", "last").distinct()
     told = rows.join(revisits, ["id", "digest"], "left").select("id", "url", "payload", F.when(F.col("last").isNull(), "response").otherwise("revisit").alias("kind"), "last")
-    records = told.mapInArrow(to_warc, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    size, least = F.octet_length("payload"), -1
+    largest = rows.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
+    for number, (most, records) in enumerate(FILES):
+        if largest > least:
+            records_of = told.where((size > least) & (size <= most)).mapInArrow(to_warc, "record binary").select(F.col("record").cast("string").alias("value"))
+            records_of.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{folder}/{number}")
+        least = most
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(from_warc, READ)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("content").mapInArrow(from_warc, READ)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
