@@ -13,7 +13,9 @@ breadth-first search leaves at most one link for each fingerprint of a block pai
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; a null id takes part
 in no component and is its own (null) component; rows that repeat an id are one document with several
-fingerprints, which its id links.
+fingerprints, which its id links; of a component the smallest id names it, so there are no ties; whole texts are
+read, however long, a part at a time; an empty table gives an empty table; other columns aren't read by the
+query, and the stage returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, slices, table, texts_as_bytes, tidied
+from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, parts, slices, table, texts_as_bytes, tidied
 from tidelog.llm.components import components
 
 SHINGLE = 4
@@ -37,22 +39,49 @@ BLOCK = 8192
 PLACES = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE, rows: int = 1 << 16) -> int:
-    """SimHash of the word shingles of a text: the bits that over half of the shingle hashes have."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - size + 1)
+def shingle_hashes(text: bytes | None, size: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of every word shingle of a text in lower case, repeats included, a part of the text at a time."""
+    digest, tail, any_yet = xxhash.xxh64_intdigest, [], False
+    for part in parts(text or b""):
+        words = tail + part.lower().split()
+        tail = words[max(0, len(words) - size + 1) :]
+        if len(words) < size:
+            tail = words
+            continue
+        any_yet = True
+        yield joined_hashes(words, size, digest, seed)
+    if tail and not any_yet:
+        yield joined_hashes(tail, len(tail), digest, seed)
+
+
+def joined_hashes(words: list[bytes], size: int, digest, seed: int) -> np.ndarray:
+    joined, n = b" ".join(words), len(words) - size + 1
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    stops = (ends[min(size, len(words)) - 1 :] - 1)[:n].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, rows):
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + rows], stops[at : at + rows], strict=True)), np.uint64)
-        ones += bit_counts(hashes)
+    stops = (ends[size - 1 :] - 1).tolist()
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    """SimHash of the word shingles of a text: the bits that over half of the shingle hashes have."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, size, SEED):
+        n += len(hashes)
+        ones += all_bit_counts(hashes)
+    return majority(ones, n)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
     return int(PLACES[2 * ones > n].sum(dtype=np.uint64))
 
 
+def all_bit_counts(hashes: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), rows):
+        ones += bit_counts(hashes[at : at + rows])
+    return ones
+
+
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, by blocks of at most 255 so that bytes don't overflow."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

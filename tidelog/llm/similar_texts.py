@@ -1,16 +1,22 @@
 """Near copies by the Jaccard similarity of five-word shingles, for the pipeline's near-dedup.
 
-Texts with the same set of shingles are one class. `BANDS` bands of `ROWS` MinHash values each propose which classes
-to compare: of similarity 0.8, 1 - (1 - 0.8**5)**20 = 99.96 % of pairs share a band, above it more. Bands that join
-the same classes are compared once. Inside a band the sets themselves are compared, exactly, and a breadth-first
-search leaves at most one link for each class. A band with more than `BLOCK` shingles is cut into blocks, every two
-of which are compared.
+Texts with the same set of shingles are one class. Two ways propose which classes to compare:
 
-SimHash fingerprints can't reach 0.8: there about 15 % of bits differ, 10 or so of 64, and a covering code that
-reaches as far compares all with all.
+* SimHash fingerprints of the sets, linked by op2's anchor-point covering (`simhash_dedup.links`): all classes whose
+  fingerprints chains of at most 4 differing bits join are one group.
+* `BANDS` bands of `ROWS` MinHash values each: of similarity 0.8, 1 - (1 - 0.8**5)**20 = 99.96 % of pairs share a band,
+  above it more. This is for what the fingerprints can't reach: at 0.8 about 15 % of their bits differ, 10 or so of 64, and a
+  covering code that reaches as far compares all with all.
+
+Groups that join the same classes are compared once. Inside a group the sets themselves are compared, exactly, and a
+breadth-first search leaves at most one link for each class. A group with more than `BLOCK` shingles is cut into
+blocks, every two of which are compared.
 
 Defined cases: null and empty texts are one class; a text of under five words is one shingle; a null id takes part in
-no component and has none; rows that repeat an id are one document with several texts, which its id links.
+no component and has none, and its row stays; rows that repeat an id are one document with several texts, which its id
+links; of a component the row with the smallest id stays, of rows that repeat it the one with the least text hash; whole
+texts are read, however long, a part at a time; an empty table gives an empty table; other columns pass through
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, slices, texts_as_bytes, tidied
+from tidelog.llm import simhash_dedup
 from tidelog.llm.components import components
-from tidelog.llm.simhash_dedup import one_of_each
+from tidelog.llm.simhash_dedup import all_bit_counts, majority, one_of_each, shingle_hashes
 
 SHINGLE = 5
 BANDS = 20
@@ -39,15 +46,8 @@ FLIPS, FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - size + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    stops = (ends[min(size, len(words)) - 1 :] - 1)[:n].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+    found = [np.unique(x) for x in shingle_hashes(text, size, SEED)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -70,7 +70,8 @@ def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(x) for x in texts_as_bytes(batch.column(1))]
         classes = pa.array([class_of(x) for x in sets], pa.int64())
         keys = pa.array([bands(x).tobytes() for x in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), classes, pa.array([len(x) for x in sets], pa.int64()), keys], names=["id", "cls", "size", "bands"])
+        prints = np.array([majority(all_bit_counts(x), len(x)) for x in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), classes, pa.array([len(x) for x in sets], pa.int64()), keys, pa.array(prints)], names=["id", "cls", "size", "bands", "fp"])
 
 
 def explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +139,17 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(u, v): links between classes; `classes` has cls, least (the id of a row that has its text), size and bands."""
+def covered(classes: DataFrame) -> DataFrame:
+    """(cls, size, band): the group of each class (cls, size, fp) whose fingerprints op2's covering links."""
+    near = components(simhash_dedup.links(classes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    return classes.select("cls", "size", "fp").join(near, "fp", "left").select("cls", "size", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("band"))
+
+
+def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, more: DataFrame | None = None) -> DataFrame:
+    """(u, v): links between classes; `classes` has cls, least (the id of a row that has its text), size and bands, `more` further groups (cls, size, band)."""
     n = partitions(docs.sparkSession)
     banded = classes.select("cls", "size", "bands").mapInArrow(tidied(explode_bands), "cls long, size long, band long")
+    banded = banded if more is None else banded.unionByName(more)
     joined = banded.groupBy("band").agg(
         F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("cls").alias("first"), F.max("cls").alias("last"),
         F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark"),
@@ -165,13 +173,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ensure_checkpoints(docs.sparkSession)
     bound_arrow_batches(docs.sparkSession)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = pair.mapInArrow(tidied(mark), "id long, cls long, size long, bands binary").checkpoint()
+    marked = pair.mapInArrow(tidied(mark), "id long, cls long, size long, bands binary, fp long").checkpoint()
     known = marked.where("id IS NOT NULL")
-    # Rows of a class have the same size and bands.
-    classes = known.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands")).checkpoint()
+    # Rows of a class have the same size, bands and fingerprint.
+    classes = known.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).checkpoint()
     repeated = known.groupBy("id").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u <> v")
     several = known.join(repeated.select("id", "u"), "id").select("u", F.col("cls").alias("v")).where("u <> v")
-    roots = components(links(docs, classes, id_col, text_col).unionByName(several)).checkpoint()
+    roots = components(links(docs, classes, id_col, text_col, more=covered(classes)).unionByName(several)).checkpoint()
     reach = classes.join(roots.withColumnRenamed("node", "cls"), "cls").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(reach, "root").select(F.col("node").alias("cls"), "component")
     named = classes.join(linked, "cls", "left").select("cls", F.coalesce("component", "least").alias("component_id"), "rows").checkpoint()
