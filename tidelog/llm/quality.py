@@ -10,7 +10,9 @@ some threshold: incidental words of the few low grades would else be learned by
 The fit takes at most `SAMPLE` labelled documents by a hash of their ids (a bounded sample); scoring takes whole texts.
 
 Defined cases: a null or wordless text has the score 0 (the thresholds alone decide); labels without a grade or a
-document are left out, of repeated labels the lowest grade counts; without labels every document has grade 2 and tail 1.
+document are left out, of repeated labels the lowest grade counts; without labels every document has grade 2 and tail 1;
+rows that repeat a document are each scored by their text; equal scores are equal results, nothing is ranked; whole
+texts are read, however long; an empty table gives an empty table; other columns pass through in `rest`.
 """
 
 from __future__ import annotations
