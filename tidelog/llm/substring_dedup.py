@@ -13,8 +13,8 @@ compared only under an equal 64-bit key, verifies it.
 
 Among the windows that a task holds at once only the smallest document of each goes to the exchange, since
 they decide the others themselves: a passage that a third of all documents share adds one row each time. A bucket of
-keys with more than `BUCKET_WINDOWS` windows is not compared at once: its windows are dealt anew, by their
-own hash, to as many buckets as they need, so that a common phrase with ever other surroundings stays bounded.
+keys with more than `BUCKET_WINDOWS` windows is not compared at once: its windows are dealt anew over all
+buckets, by their own hash, so that a common phrase with ever other surroundings stays bounded.
 
 Memory doesn't grow with the texts: a text is split `PART` bytes at a time, and stretches that overlap by
 a window less a word have the windows of the whole.
@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidelog.llm.common import WordHashes, bound_arrow_batches, ensure_checkpoints, mix64, partitions, parts, slices, table, texts_as_bytes, tidied
+from tidelog.llm.common import WordHashes, bound_arrow_batches, mix64, partitions, parts, slices, table, texts_as_bytes, tidied
 
 WINDOW = 13
 ROUNDS = 6
@@ -182,9 +182,8 @@ def smallest_of_group(keys: np.ndarray, tags: np.ndarray, docs: np.ndarray) -> n
 
 EXCHANGE = "bucket int, kind int, n long, blob binary"
 EXCHANGE_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
-#: Kinds of rows in an exchange, in the order in which they are read: windows to compare, windows found (by the bucket of
-#: their document), windows of an overfull bucket, documents.
-COMPARE, FOUND, AGAIN, DOCUMENT = range(4)
+#: Kinds of rows in an exchange: windows to compare, windows found (by the bucket of their document), documents.
+COMPARE, FOUND, DOCUMENT = range(3)
 
 
 def exchange_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -318,14 +317,17 @@ def name_windows(buckets: int, window: int, rounds: int, held_windows: int = HEL
     return run
 
 
-def compare_windows(buckets: int, limit: int):
-    """Rows in the order of their buckets -> windows that also start in a smaller document; buckets of more than `limit` windows as they came."""
+def compare_windows(buckets: int, limit: int | None):
+    """Rows in the order of their buckets -> windows that also start in a smaller document, by bucket of the document.
+
+    Windows of buckets with more than `limit` come out again, by bucket of their own hash. Holds one bucket's at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found(buckets)
 
         def judged(blobs):
-            keys, tags, docs, variants, start = (np.concatenate(x) for x in zip(*(unpack(blob) for _, blob in blobs), strict=True))
+            keys, tags, docs, variants, start = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
             least = smallest_of_group(keys, tags, docs)
             return stretch_table(docs[~least], variants[~least], start[~least])
 
@@ -340,9 +342,10 @@ def compare_windows(buckets: int, limit: int):
                         yield from found.add(judged(blobs))
                     now, blobs, windows = bucket, [], 0
                 windows += n
-                blobs.append((n, blob))
-                if windows > limit:
-                    yield exchange_rows([(bucket, AGAIN, *x) for x in blobs])
+                blobs.append(blob)
+                if limit is not None and windows > limit:
+                    for x in map(unpack, blobs):
+                        yield exchange_rows(dealt_windows(x, bucket_of(mix64(x[0] + x[1] * PAIR_SALT), buckets)))
                     blobs = []
         if blobs:
             yield from found.add(judged(blobs))
@@ -351,39 +354,18 @@ def compare_windows(buckets: int, limit: int):
     return run
 
 
-def deal_by_window(buckets: int):
-    """Windows of overfull buckets -> the same, by bucket of their own hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(3).to_pylist():
-                got = unpack(blob)
-                yield exchange_rows(dealt_windows(got, bucket_of(mix64(got[0] + got[1] * PAIR_SALT), buckets)))
-
-    return run
-
-
 def found_windows(pairs: DataFrame, window: int, rounds: int, limit: int = BUCKET_WINDOWS, held_windows: int = HELD_WINDOWS) -> DataFrame:
     """(id, variant, text) -> rows of kind FOUND: stretches of windows that also start in a document of smaller id, by bucket of the id."""
-    spark = pairs.sparkSession
-    ensure_checkpoints(spark)
-    n = partitions(spark)
+    n = partitions(pairs.sparkSession)
     buckets = BUCKETS * n
 
     def compared(rows, most):
         return rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket").mapInArrow(tidied(compare_windows(buckets, most)), EXCHANGE)
 
     named = pairs.mapInArrow(tidied(name_windows(buckets, window, rounds, held_windows)), EXCHANGE)
-    first = compared(named, limit).checkpoint()
-    again = first.where(F.col("kind") == AGAIN)
-    windows = again.agg(F.sum("n").alias("n")).first()["n"]
-    found = first.where(F.col("kind") == FOUND)
-    if windows is None:
-        return found
-    # Equal windows go to one bucket, and of them each task has sent one: these buckets are as even as hashes are.
-    more = max(n, 2 * -(-int(windows) // limit))
-    dealt = again.mapInArrow(tidied(deal_by_window(more)), EXCHANGE)
-    return found.unionByName(compared(dealt, 1 << 62))
+    # What overfull buckets send on is dealt by the windows' own hash: equal windows meet, of each a task has sent one, and
+    # so these buckets are as even as hashes are. Windows found already, a small part of all, come along.
+    return compared(compared(named, limit), None)
 
 
 def compress_texts(buckets: int):
@@ -501,7 +483,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     bound_arrow_batches(spark)
-    ensure_checkpoints(spark)
     n = partitions(spark)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     whole = with_variants(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest")))
