@@ -14,21 +14,22 @@ FILE_ROWS = 100_000
 FEW = 16
 
 
-def settled(links: DataFrame, n: int) -> DataFrame:
-    """The rows of `links`, about n of them, in a checkpoint of few files."""
-    return links.coalesce(max(FEW, -(-n // FILE_ROWS))).checkpoint()
+def settled(rows: DataFrame, n: int) -> DataFrame:
+    """Rows, about n of them or fewer, in a checkpoint of few files."""
+    return rows.coalesce(min(1 << 20, max(FEW, -(-n // FILE_ROWS)))).checkpoint()  # coalesce never adds any
 
 
-def components(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
+def components(edges: DataFrame, hub_rows: int = HUB_ROWS, rows: int = 1 << 62) -> DataFrame:
     """(u, v) links -> (node, root): the smallest node that each linked node can reach. Nodes without links are absent.
 
     Each round every node hands its larger neighbours to its smallest one, then its smaller neighbours
     to the smallest of them, until nothing changes. Lineage is cut by checkpoint() in the shared folder.
     Self links and repeated links change nothing; an empty input gives an empty result.
-    Either join gives the same rows; `hub_rows` only says from how many links on hubs are salted.
+    Either join gives the same rows; `hub_rows` only says from how many links on hubs are salted, and `rows`, about how many
+    links there may be, only how many files their first checkpoint has.
     """
     ensure_checkpoints(edges.sparkSession)
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+    now = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), rows)
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

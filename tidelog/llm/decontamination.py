@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.llm.common import FOLD_WORDS, WordHashes, bound_arrow_batches, ensure_checkpoints, parts, slices, table, texts_as_bytes, tidied
+from tidelog.llm.components import settled
 from tidelog.llm.substring_dedup import Powers, window_hashes
 
 WINDOW = 13
@@ -96,8 +97,9 @@ class Fingerprints:
         return (self.bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def fingerprints(windows: DataFrame, window: int, gram: int, index_bytes: int = INDEX_BYTES, bitmap_bits: int = BITMAP_BITS) -> Fingerprints:
-    found = windows.select("n", "words").distinct().mapInArrow(tidied(fingerprint_windows(window, gram)), "n int, hash long").distinct().checkpoint()
+def fingerprints(windows: DataFrame, rows: int, window: int, gram: int, index_bytes: int = INDEX_BYTES, bitmap_bits: int = BITMAP_BITS) -> Fingerprints:
+    found = windows.select("n", "words").distinct().mapInArrow(tidied(fingerprint_windows(window, gram)), "n int, hash long").distinct()
+    found = settled(found, rows)
     sizes = {r["n"]: r["count"] for r in found.groupBy("n").count().collect()}  # a row for each size up to `window`
     if 8 * sum(sizes.values()) <= index_bytes:
         rows = found.toArrow()
@@ -196,13 +198,15 @@ def find_contamination(
     bound_arrow_batches(spark)
     ensure_checkpoints(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
-    windows = items.mapInArrow(tidied(benchmark_windows(window)), "n int, words binary, item string").distinct().checkpoint()
-    index = spark.sparkContext.broadcast(fingerprints(windows, window, gram, index_bytes, bitmap_bits))
+    windows = items.mapInArrow(tidied(benchmark_windows(window)), "n int, words binary, item string").distinct()
+    about = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6 + 1  # windows, give or take
+    windows = settled(windows, about)
+    index = spark.sparkContext.broadcast(fingerprints(windows, about, window, gram, index_bytes, bitmap_bits))
     rest = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns])
     text = F.col(text_col).cast("string")
     whole = docs.select(text.alias("text"), F.xxhash64(text).alias("mark"), F.col(id_col).cast("long").alias("id"), rest.alias("rest"))
     ddl = f"rest {whole.schema['rest'].dataType.simpleString()}, id long, mark long, n_words long, found array<struct<n:int,at:long,words:binary>>"
-    passed = whole.mapInArrow(tidied(look_up(index, window, gram)), ddl).checkpoint()
+    passed = settled(whole.mapInArrow(tidied(look_up(index, window, gram)), ddl), docs.count())
     # Rows of one id with one text have the same windows and get the same result.
     asked = passed.where("found IS NOT NULL").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.explode("found").alias("f")).select("__id", "__mark", "f.*")
     hits = asked.join(windows, ["n", "words"]).groupBy("__id", "__mark").agg(F.collect_set("item").alias("__items"), F.collect_set(F.struct(F.col("at"), F.col("n").cast("long").alias("n"))).alias("__spans"))

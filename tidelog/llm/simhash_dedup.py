@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, parts, slices, table, texts_as_bytes, tidied
-from tidelog.llm.components import components
+from tidelog.llm.components import components, settled
 
 SHINGLE = 4
 SEED = 42
@@ -233,16 +233,17 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, fp and component_id, the smallest id that links reach from it."""
     ensure_checkpoints(docs.sparkSession)
-    marked = fingerprints(docs, id_col, text_col).checkpoint()
+    n = docs.count()
+    marked = settled(fingerprints(docs, id_col, text_col), n)
     known = marked.where("id IS NOT NULL")
-    classes = known.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")).checkpoint()
+    classes = settled(known.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), n)
     # Rows that repeat an id join their fingerprints.
     repeated = known.groupBy("id").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v")
     several = known.join(repeated.select("id", "u"), "id").select("u", F.col("fp").alias("v")).where("u <> v")
-    roots = components(links(classes).unionByName(several)).checkpoint()
+    roots = settled(components(links(classes).unionByName(several), rows=n), n)
     reach = classes.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(reach, "root").select(F.col("node").alias("fp"), "component")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "rows").checkpoint()
+    named = settled(classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "rows"), n)
     return look_up_salted(marked, named, ["fp"], "id").select(
         "id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.llm.common import bound_arrow_batches, ensure_checkpoints, look_up_salted, partitions, slices, texts_as_bytes, tidied
 from tidelog.llm import simhash_dedup
-from tidelog.llm.components import components
+from tidelog.llm.components import components, settled
 from tidelog.llm.simhash_dedup import all_bit_counts, majority, one_of_each, shingle_hashes
 
 SHINGLE = 5
@@ -139,13 +139,13 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def covered(classes: DataFrame) -> DataFrame:
+def covered(classes: DataFrame, rows: int) -> DataFrame:
     """(cls, size, band): the group of each class (cls, size, fp) whose fingerprints op2's covering links."""
-    near = components(simhash_dedup.links(classes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    near = components(simhash_dedup.links(classes.select("fp").distinct()), rows=rows).select(F.col("node").alias("fp"), "root")
     return classes.select("cls", "size", "fp").join(near, "fp", "left").select("cls", "size", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("band"))
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, more: DataFrame | None = None) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, more: DataFrame | None = None, rows: int = 1 << 62) -> DataFrame:
     """(u, v): links between classes; `classes` has cls, least (the id of a row that has its text), size and bands, `more` further groups (cls, size, band)."""
     n = partitions(docs.sparkSession)
     banded = classes.select("cls", "size", "bands").mapInArrow(tidied(explode_bands), "cls long, size long, band long")
@@ -160,7 +160,8 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
     own = banded.join(cut, "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = own.select("cls", "band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
         "cls", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("grp")
-    ).checkpoint()
+    )
+    dealt = settled(dealt, rows)
     wanted = classes.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "least")
     texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
     sets = texts.join(wanted, "least").select("text", "cls").mapInArrow(tidied(fetch_sets), "cls long, shingles binary")
@@ -172,17 +173,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of `docs`: id, cls and component_id, the smallest id that links reach from it."""
     ensure_checkpoints(docs.sparkSession)
     bound_arrow_batches(docs.sparkSession)
+    n = docs.count()
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = pair.mapInArrow(tidied(mark), "id long, cls long, size long, bands binary, fp long").checkpoint()
+    marked = settled(pair.mapInArrow(tidied(mark), "id long, cls long, size long, bands binary, fp long"), n)
     known = marked.where("id IS NOT NULL")
     # Rows of a class have the same size, bands and fingerprint.
-    classes = known.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).checkpoint()
+    first = [F.first(c).alias(c) for c in ("size", "bands", "fp")]
+    classes = settled(known.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("rows"), *first), n)
     repeated = known.groupBy("id").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u <> v")
     several = known.join(repeated.select("id", "u"), "id").select("u", F.col("cls").alias("v")).where("u <> v")
-    roots = components(links(docs, classes, id_col, text_col, more=covered(classes)).unionByName(several)).checkpoint()
+    found = links(docs, classes, id_col, text_col, more=covered(classes, n), rows=n)
+    roots = settled(components(found.unionByName(several), rows=n), n)
     reach = classes.join(roots.withColumnRenamed("node", "cls"), "cls").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(reach, "root").select(F.col("node").alias("cls"), "component")
-    named = classes.join(linked, "cls", "left").select("cls", F.coalesce("component", "least").alias("component_id"), "rows").checkpoint()
+    named = settled(classes.join(linked, "cls", "left").select("cls", F.coalesce("component", "least").alias("component_id"), "rows"), n)
     return look_up_salted(marked.select("id", "cls"), named, ["cls"], "id").select(
         "id", "cls", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )
