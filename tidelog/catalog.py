@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidelog.functions import lsn, payload
-from tidelog.operators import assemble, chunks, compare, fold, reconcile, replay
+from tidelog.operators import assemble, chunks, compare, fold, markers, reconcile, replay, scan
+from tidelog.sources.log import bounds
 
 FLAGSHIP = "reconcile_snapshot"
 Q: dict = {}
@@ -25,11 +26,15 @@ def query(sql: str):
 
 
 def queries():
-    return dict(Q)
+    from tidelog import catalog_jobs
+
+    return Q | catalog_jobs.Q
 
 
 def oracle_sql():
-    return dict(SQL)
+    from tidelog import catalog_jobs
+
+    return SQL | catalog_jobs.SQL
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,25 +113,25 @@ def keyset_next(spark, sf):
     return chunks.next_page(read(spark, sf, "orders"), "o_orderkey", 123, chunks.GREATEST, 1000)
 
 
-SPARSE = "sparse AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 3)"
-MANIFEST = f"""{SPARSE}, p AS (SELECT (row_number() OVER (ORDER BY k) - 1) // 500 AS chunk_id, k FROM sparse),
-g AS (SELECT chunk_id, max(k) AS last, count(*) AS keys FROM p GROUP BY chunk_id), ub AS (SELECT max(k) AS m FROM sparse),
+KEYS = "keys AS (SELECT o_orderkey AS k FROM orders)"
+MANIFEST = f"""{KEYS}, p AS (SELECT (row_number() OVER (ORDER BY k) - 1) // 500 AS chunk_id, k FROM keys),
+g AS (SELECT chunk_id, max(k) AS last, count(*) AS keys FROM p GROUP BY chunk_id), ub AS (SELECT max(k) AS m FROM keys),
 manifest AS (SELECT CAST(chunk_id AS BIGINT) AS chunk_id, coalesce(lag(last) OVER (ORDER BY chunk_id) + 1, (-9223372036854775807 - 1)::BIGINT) AS chunk_min,
   CASE WHEN lead(chunk_id) OVER (ORDER BY chunk_id) IS NULL THEN (SELECT m FROM ub) ELSE last END AS chunk_max, keys FROM g)"""
 
 
-def sparse_orders(spark, sf):
-    return read(spark, sf, "orders").where("o_orderkey % 7 <> 3").select(F.col("o_orderkey").alias("k"))
+def order_keys(spark, sf):
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
 
 
-def sparse_manifest(spark, sf):
-    rows = sparse_orders(spark, sf)
+def order_manifest(spark, sf):
+    rows = order_keys(spark, sf)
     return chunks.manifest(rows, "k", 500, chunks.upper_bound(rows, "k").first()[0])
 
 
 @query(f"WITH {MANIFEST} SELECT * FROM manifest")
 def chunk_manifest(spark, sf):
-    return sparse_manifest(spark, sf)
+    return order_manifest(spark, sf)
 
 
 @query(f"""WITH {MANIFEST}, bad AS (SELECT chunk_min, CASE WHEN chunk_id = 2 THEN chunk_max - 1 WHEN chunk_id = 4 THEN chunk_max + 1 ELSE chunk_max END AS chunk_max FROM manifest),
@@ -134,8 +139,8 @@ l AS (SELECT *, lag(chunk_max) OVER (ORDER BY chunk_min) AS before, lead(chunk_m
 SELECT chunk_min, chunk_max, CASE WHEN before >= chunk_min THEN 'overlap' WHEN before + 1 < chunk_min THEN 'gap' ELSE 'does not end at the bound' END AS fault FROM l, ub
 WHERE (before IS NOT NULL AND before + 1 <> chunk_min) OR (next IS NULL AND chunk_max <> m)""")
 def manifest_proof(spark, sf):
-    m = sparse_manifest(spark, sf)
-    upper = chunks.upper_bound(sparse_orders(spark, sf), "k").first()[0]
+    m = order_manifest(spark, sf)
+    upper = chunks.upper_bound(order_keys(spark, sf), "k").first()[0]
     bad = m.withColumn("chunk_max", F.when(F.col("chunk_id") == 2, F.col("chunk_max") - 1).when(F.col("chunk_id") == 4, F.col("chunk_max") + 1).otherwise(F.col("chunk_max")))
     return chunks.manifest_faults(bad, upper)
 
@@ -143,13 +148,13 @@ def manifest_proof(spark, sf):
 @query(f"""WITH {MANIFEST}, c AS (SELECT *, chunk_id % 5 <> 3 AS completed FROM manifest), s AS (SELECT min(CASE WHEN NOT completed THEN chunk_min END) AS stop FROM c)
 SELECT CAST(coalesce(max(chunk_max), -9223372036854775807 - 1) AS BIGINT) AS completed_through, count(*) AS chunks FROM c, s WHERE stop IS NULL OR chunk_min < stop""")
 def contiguous_frontier(spark, sf):
-    return chunks.contiguous_frontier(sparse_manifest(spark, sf).withColumn("completed", F.col("chunk_id") % 5 != 3))
+    return chunks.contiguous_frontier(order_manifest(spark, sf).withColumn("completed", F.col("chunk_id") % 5 != 3))
 
 
 @query(f"""WITH {MANIFEST}, c AS (SELECT 'job' || (chunk_id % 3) AS job_id, CASE WHEN chunk_id % 3 = 0 OR chunk_id % 2 = 0 THEN 'completed' ELSE 'pending' END AS status FROM manifest)
 SELECT job_id, count(*) AS chunks, count_if(status = 'completed')::BIGINT AS completed, 0::BIGINT AS failed, CASE WHEN count_if(status = 'completed') = count(*) THEN 'ready_to_verify' ELSE 'running' END AS state FROM c GROUP BY job_id""")
 def chunk_progress(spark, sf):
-    c = sparse_manifest(spark, sf).select(F.concat(F.lit("job"), F.col("chunk_id") % 3).alias("job_id"), F.when((F.col("chunk_id") % 3 == 0) | (F.col("chunk_id") % 2 == 0), "completed").otherwise("pending").alias("status"))
+    c = order_manifest(spark, sf).select(F.concat(F.lit("job"), F.col("chunk_id") % 3).alias("job_id"), F.when((F.col("chunk_id") % 3 == 0) | (F.col("chunk_id") % 2 == 0), "completed").otherwise("pending").alias("status"))
     return chunks.progress(c)
 
 
@@ -287,16 +292,18 @@ def multiset_difference(spark, sf):
     return compare.multiset_difference(*altered(spark, sf))
 
 
-@query(f"""WITH {ALTERED}, x AS (SELECT DISTINCT user_id AS k FROM events WHERE event_id >= 100 AND event_id < 5000)
+@query(f"""WITH {ALTERED}, x AS (SELECT DISTINCT user_id AS k FROM events WHERE event_id >= (SELECT count(*) // 4 FROM events) AND event_id < (SELECT count(*) // 2 FROM events))
 SELECT x.k, (o.k IS NULL AND r.k IS NULL) OR (o.k IS NOT NULL AND r.k IS NOT NULL AND o.p IS NOT DISTINCT FROM r.p AND o.s IS NOT DISTINCT FROM r.s) AS "equal" FROM x LEFT JOIN o USING (k) LEFT JOIN r USING (k)""")
 def changed_key_compare(spark, sf):
-    keys = compare.changed_keys(log(spark, sf), "k", 100, 5000, 100_000)
+    n = read(spark, sf, "events").count()
+    keys = compare.changed_keys(log(spark, sf), "k", n // 4, n // 2, 1 << 30)
     return compare.compare_keys(keys, *altered(spark, sf), "k")
 
 
-@query("SELECT DISTINCT user_id AS k FROM events WHERE event_id >= 200 AND event_id < 900")
+@query("SELECT DISTINCT user_id AS k FROM events WHERE event_id >= (SELECT count(*) // 3 FROM events) AND event_id < (SELECT count(*) * 2 // 3 FROM events)")
 def changed_keys_capped(spark, sf):
-    return compare.changed_keys(log(spark, sf), "k", 200, 900, 100_000)
+    n = read(spark, sf, "events").count()
+    return compare.changed_keys(log(spark, sf), "k", n // 3, n * 2 // 3, 1 << 30)
 
 
 @query("""WITH f AS (SELECT lpad(upper(to_hex(event_id)), 8, '0') AS h, event_id FROM events) SELECT 'A' || '/' || h AS lsn_text, CAST(10 * 4294967296 + event_id AS BIGINT) AS lsn FROM f""")
@@ -340,38 +347,40 @@ def metrics_rollup(spark, sf):
     e = read(spark, sf, "events")
     end = e.agg((F.max("event_id") + 1).alias("end_offset"))
     each = e.groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("keys"), F.max("event_id").alias("last_offset"))
-    return each.crossJoin(F.broadcast(end)).select("event_type", "events", "keys", "last_offset", F.greatest(F.col("end_offset") - F.col("last_offset"), F.lit(0)).cast("bigint").alias("lag"))  # one row
+    return each.crossJoin(F.broadcast(end)).select("event_type", "events", "keys", "last_offset", fold.lag(F.col("last_offset"), F.col("end_offset")).cast("bigint").alias("lag"))  # one row
 
 
 @query("""WITH g AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events)
 SELECT user_id, event_id, CAST(median(gap) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS DOUBLE) AS median_gap FROM g""")
 def sizer_median(spark, sf):
-    by = Window.partitionBy("user_id").orderBy("event_id")
-    gaps = read(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") - F.lag("event_id").over(by)).alias("gap"))
-    return gaps.select("user_id", "event_id", F.percentile("gap", 0.5).over(by.rowsBetween(-31, 0)).alias("median_gap"))
+    gaps = read(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))).alias("gap"))
+    return gaps.select("user_id", "event_id", scan.running_median(gaps, "gap", ["user_id"], "event_id").alias("median_gap"))
 
 
 @query("SELECT min(event_id) AS earliest, max(event_id) + 1 AS end_offset, min(CASE WHEN event_type = 'signup' AND event_id >= 500 THEN event_id + 1 END) AS after_barrier FROM events")
 def log_offsets(spark, sf):
-    barrier = F.min(F.when((F.col("op") == "insert") & (F.col("offset") >= 500), F.col("offset") + 1))
-    return log(spark, sf).agg(F.min("offset").alias("earliest"), (F.max("offset") + 1).alias("end_offset"), barrier.alias("after_barrier"))
+    barriers = log(spark, sf).select("offset", F.lit("b").alias("id"), F.when(F.col("op") == "insert", "barrier").alias("kind"))
+    found = bounds(log(spark, sf).withColumn("partition", F.lit(0))).drop("partitions")
+    return found.crossJoin(markers.after_barrier(barriers, "b", 500).withColumnRenamed("next_offset", "after_barrier"))  # one row each
 
 
-@query(f"""WITH {SNAP}, staged AS (SELECT k, CAST(v AS VARCHAR) || '' AS payload, k % 9 = 0 AS evicted FROM snap WHERE k % 2 = 0), fresh AS (SELECT k, 'new' || k AS payload, k % 10 = 0 AS evicted FROM snap WHERE k % 5 = 0)
-SELECT coalesce(staged.k, fresh.k) AS k, fresh.payload IS NOT NULL AS refreshed, coalesce(staged.evicted, false) OR coalesce(fresh.evicted, false) AS evicted FROM staged FULL OUTER JOIN fresh ON staged.k = fresh.k""")
+@query(f"""WITH {SNAP}, staged AS (SELECT k, v % 2 < 1 AS evicted FROM snap), fresh AS (SELECT DISTINCT user_id AS k, user_id % 10 = 0 AS evicted FROM events)
+SELECT coalesce(staged.k, fresh.k) AS k, fresh.k IS NOT NULL AS refreshed, coalesce(staged.evicted, false) OR coalesce(fresh.evicted, false) AS evicted FROM staged FULL OUTER JOIN fresh ON staged.k = fresh.k""")
 def stage_candidates(spark, sf):
-    s = snapshot(spark, sf)
-    staged = s.where("k % 2 = 0").select("k", F.col("v").cast("string").alias("payload"), (F.col("k") % 9 == 0).alias("evicted"))
-    fresh = s.where("k % 5 = 0").select("k", F.concat(F.lit("new"), F.col("k")).alias("payload"), (F.col("k") % 10 == 0).alias("evicted"))
+    """Every customer is staged; every user of the log is staged again."""
+    staged = snapshot(spark, sf).select("k", F.col("v").cast("string").alias("payload"), (F.col("v") % 2 < 1).alias("evicted"))
+    fresh = log(spark, sf).select("k").distinct().select("k", F.concat(F.lit("new"), F.col("k")).alias("payload"), (F.col("k") % 10 == 0).alias("evicted"))
     return fold.stage_candidates(staged, fresh, ["k"]).select("k", F.col("payload").startswith("new").alias("refreshed"), "evicted")
 
 
 @query("SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey IN (SELECT user_id FROM events)")
 def key_set_scan(spark, sf):
-    keys = log(spark, sf).select("k").distinct()
-    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p")).join(keys, "k", "left_semi")
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
+    return scan.key_rows(rows, "k", log(spark, sf))
 
 
-@query("SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey BETWEEN 100 AND 4000")
+@query("SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey BETWEEN (SELECT max(o_orderkey) // 4 FROM orders) AND (SELECT max(o_orderkey) * 3 // 4 FROM orders)")
 def range_scan(spark, sf):
-    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p")).where(F.col("k").between(100, 4000))
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
+    top = chunks.upper_bound(rows, "k").first()[0]
+    return scan.range_rows(rows, "k", top // 4, top * 3 // 4)

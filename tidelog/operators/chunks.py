@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidelog.sources.shared import ensure_checkpoints
+
 LEAST = -(1 << 63)
 GREATEST = (1 << 63) - 1
+#: Starts of chunks that a plan compares one by one, and those that it may hold as a constant (8 bytes each).
+TREE = 32
+LISTED = 100_000
 
 
 def upper_bound(rows: DataFrame, key: str) -> DataFrame:
@@ -28,42 +35,52 @@ def arithmetic_page(done: int, size: int, upper: int) -> tuple[int, int] | None:
     return done + 1, min(upper, done + size if done <= GREATEST - size else GREATEST)
 
 
-def ranked_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key, rank from 0) in the order of keys, without one task that sorts all.
+def numbered(rows: DataFrame, order: list[str], name: str = "rank") -> tuple[DataFrame, int]:
+    """Rows with their number, from 0, in the order of columns, and how many there are. No task sorts or counts all of them.
 
-    Keys are spread by range over partitions; counts of the partitions give each its first rank.
+    Rows are spread by range over partitions and kept in the shared folder, so that counts and numbers are of the same
+    spread; the counts, one a partition, give each partition its first number.
     """
-    spread = rows.select(key).repartitionByRange(key).withColumn("__part", F.spark_partition_id())
-    placed = spread.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
-    counts = spread.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    return placed.join(F.broadcast(first), "__part").select(key, (F.col("__first") + F.col("__at") - 1).alias("rank"))  # a row for each partition
+    ensure_checkpoints(rows.sparkSession)
+    spread = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    counts = sorted((r["__part"], r["n"]) for r in spread.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    firsts, total = [], 0
+    for part, n in counts:
+        firsts.append((part, total))
+        total += n
+    starts = rows.sparkSession.createDataFrame(firsts, "__part int, __first bigint")  # a row for each partition
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return spread.withColumn("__at", at).join(F.broadcast(starts), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first"), total
+
+
+def ranked_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rank from 0) in the order of keys."""
+    return numbered(rows.select(key), [key])[0]
 
 
 def manifest(rows: DataFrame, key: str, size: int, upper: int) -> DataFrame:
     """Gap-free chunks of `size` keys from the least bigint to the bound: (chunk_id, chunk_min, chunk_max, keys)."""
-    pages = ranked_keys(rows.where(F.col(key) <= upper), key).groupBy(F.floor(F.col("rank") / size).cast("bigint").alias("chunk_id")).agg(
-        F.max(key).alias("__last"), F.count("*").alias("keys")
-    )
-    pages = pages if not pages.isEmpty() else rows.sparkSession.createDataFrame([(0, upper, 0)], "chunk_id bigint, __last bigint, keys bigint")
-    order = Window.orderBy("chunk_id")
-    last = F.when(F.lead("chunk_id").over(order).isNull(), F.lit(upper)).otherwise(F.col("__last"))
-    return pages.select("chunk_id", F.coalesce(F.lag("__last").over(order) + 1, F.lit(LEAST)).alias("chunk_min"), last.alias("chunk_max"), "keys")
+    ranked, n = numbered(rows.where(F.col(key) <= upper).select(F.col(key).alias("__key")), ["__key"])
+    if not n:
+        return rows.sparkSession.createDataFrame([(0, LEAST, upper, 0)], "chunk_id bigint, chunk_min bigint, chunk_max bigint, keys bigint")
+    pages = ranked.groupBy(F.floor(F.col("rank") / size).cast("bigint").alias("chunk_id")).agg(F.max("__key").alias("__last"), F.count("*").alias("keys"))
+    before = pages.select((F.col("chunk_id") + 1).alias("chunk_id"), F.col("__last").alias("__before"))
+    last = F.when(F.col("chunk_id") == (n - 1) // size, F.lit(upper)).otherwise(F.col("__last"))
+    return pages.join(before, "chunk_id", "left").select("chunk_id", F.coalesce(F.col("__before") + 1, F.lit(LEAST)).alias("chunk_min"), last.alias("chunk_max"), "keys")
 
 
 def manifest_faults(chunks: DataFrame, upper: int) -> DataFrame:
     """Rows that break the proof: start at the least bigint, no gap, no overlap, end at the bound. None: proven."""
-    order = Window.orderBy("chunk_min", "chunk_max")
-    previous, following = F.lag("chunk_max").over(order), F.lead("chunk_min").over(order)
+    ranked, n = numbered(chunks.select("chunk_min", "chunk_max"), ["chunk_min", "chunk_max"])
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("chunk_max").alias("__before"))
     fault = (
         F.when(F.col("chunk_min") > F.col("chunk_max"), "empty range")
-        .when(F.row_number().over(order) == 1, F.when(F.col("chunk_min") != LEAST, "does not start at the least key"))
-        .when(previous >= F.col("chunk_min"), "overlap")
-        .when(F.try_add(previous, F.lit(1)) < F.col("chunk_min"), "gap")
+        .when(F.col("rank") == 0, F.when(F.col("chunk_min") != LEAST, "does not start at the least key"))
+        .when(F.col("__before") >= F.col("chunk_min"), "overlap")
+        .when(F.try_add("__before", F.lit(1)) < F.col("chunk_min"), "gap")
     )
-    ends = F.when(following.isNull() & (F.col("chunk_max") != upper), "does not end at the bound")
-    return chunks.select("chunk_min", "chunk_max", F.coalesce(fault, ends).alias("fault")).where("fault IS NOT NULL")
+    ends = F.when((F.col("rank") == n - 1) & (F.col("chunk_max") != upper), "does not end at the bound")
+    return ranked.join(before, "rank", "left").select("chunk_min", "chunk_max", F.coalesce(fault, ends).alias("fault")).where("fault IS NOT NULL")
 
 
 def contiguous_frontier(chunks: DataFrame) -> DataFrame:
@@ -81,21 +98,57 @@ def progress(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("job_id").agg(F.count("*").alias("chunks"), done.alias("completed"), failed.alias("failed"), state.alias("state"))
 
 
-def with_chunks(rows: DataFrame, key: str, chunks: DataFrame, block: int = 256) -> DataFrame:
-    """Each row with the columns of the chunk that holds its key; nulls outside all.
+def place_in(key, starts: list[int]):
+    """How many of some ascending numbers are not above a key: a tree of comparisons, or for many a binary search."""
+    if len(starts) <= TREE:
+        def tree(low: int, high: int):  # the answer is in [low, high]
+            if low == high:
+                return F.lit(low)
+            middle = (low + high + 1) // 2
+            return F.when(key >= starts[middle - 1], tree(middle, high)).otherwise(tree(low, middle - 1))
+
+        return F.when(key.isNull(), 0).otherwise(tree(0, len(starts)))
+    listed = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")  # folded to one constant
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(starts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def with_chunks(rows: DataFrame, key: str, chunks: DataFrame, limit: int = LISTED) -> DataFrame:
+    """Each row with the columns of the chunk that holds its key; nulls outside all. Chunks don't overlap.
 
-    Chunks don't overlap, so blocks of at most `block` of them are broadcast in turn, each key meeting its chunk in one.
+    The starts of at most `limit` chunks go into the plan, where each row finds its chunk's start by itself; the chunk's other
+    columns come by an equi-join on that start. Of more chunks every so many-th start cuts the keys into blocks in this way, and inside a
+    block, which has as many keys as its chunks, the last start before each key is carried forward.
     """
     n = chunks.count()
-    if n <= block:
-        return rows.join(F.broadcast(chunks), F.col(key).between(F.col("chunk_min"), F.col("chunk_max")), "left")
-    by_range = chunks.withColumn("__block", F.ntile(-(-n // block)).over(Window.orderBy("chunk_min")))
-    spans = by_range.groupBy("__block").agg(F.min("chunk_min").alias("lo"), F.max("chunk_max").alias("hi")).collect()
-    found = None
-    for s in spans:
-        part = rows.where(F.col(key).between(s["lo"], s["hi"])).join(
-            F.broadcast(by_range.where(F.col("__block") == s["__block"]).drop("__block")), F.col(key).between(F.col("chunk_min"), F.col("chunk_max")), "left"
-        )
-        found = part if found is None else found.unionByName(part)
-    outside = ~F.coalesce(*[F.when(F.col(key).between(s["lo"], s["hi"]), F.lit(True)) for s in spans], F.lit(False))
-    return found.unionByName(rows.where(outside), allowMissingColumns=True)
+    every = max(1, -(-n // limit))
+    cuts = chunks.select("chunk_min") if every == 1 else numbered(chunks.select("chunk_min"), ["chunk_min"])[0].where(F.col("rank") % every == 0)
+    starts = sorted(r["chunk_min"] for r in cuts.select("chunk_min").collect())  # at most `limit`
+    columns = [c for c in chunks.columns if c != "chunk_min"]
+    facts = chunks.select(F.col("chunk_min").alias("__start"), F.struct("chunk_min", *columns).alias("__chunk"))
+    if every == 1:
+        place = place_in(F.col(key), starts)
+        listed = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")
+        found = rows.withColumn("__start", F.get(listed, place - 1)).join(facts, "__start", "left").drop("__start")
+    else:
+        marks = facts.select(F.col("__start").alias("__key"), place_in(F.col("__start"), starts).alias("__block"), F.lit(0).alias("__turn"), "__chunk")
+        each = rows.select(F.col(key).alias("__key"), place_in(F.col(key), starts).alias("__block"), F.lit(1).alias("__turn"), F.struct(*rows.columns).alias("__row"))
+        both = each.unionByName(marks, allowMissingColumns=True)
+        so_far = Window.partitionBy("__block").orderBy("__key", "__turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = both.withColumn("__chunk", F.last("__chunk", ignorenulls=True).over(so_far)).where("__turn = 1").select("__row.*", "__chunk")
+    inside = F.col(key) <= F.col("__chunk.chunk_max")
+    return found.select(*rows.columns, *[F.when(inside, F.col("__chunk")[c]).alias(c) for c in ("chunk_min", *columns)])
+
+
+def arithmetic_pages(spark, done: int, size: int, upper: int) -> DataFrame:
+    """All ranges of `size` keys after `done` up to the bound, without a query: (chunk_id, chunk_min, chunk_max)."""
+    n = max(0, -(-(upper - done) // size))
+    first = F.lit(done).cast("decimal(38,0)") + F.col("id") * size + 1  # wide, so that the last page can't overflow
+    last = F.least(first + (size - 1), F.lit(upper).cast("decimal(38,0)"))
+    return spark.range(n).select(F.col("id").alias("chunk_id"), first.cast("bigint").alias("chunk_min"), last.cast("bigint").alias("chunk_max"))
+
+
+def counters(chunks: DataFrame) -> DataFrame:
+    """Chunks completed, candidates seen and rows that survived, by job."""
+    done = F.col("status") == "completed"
+    return chunks.groupBy("job_id").agg(F.count_if(done).alias("completed"), F.coalesce(F.sum("rows_scanned"), F.lit(0)).alias("candidates"), F.coalesce(F.sum(F.when(done, F.col("rows_applied"))), F.lit(0)).alias("survivors"))

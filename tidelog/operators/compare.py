@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidelog.operators.chunks import with_chunks
+
 
 def differences(source: DataFrame, replica: DataFrame, key: str) -> DataFrame:
     """(key, kind): keys missing on a side, and keys whose cells differ; nulls equal each other."""
@@ -44,3 +46,12 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def range_differences(source: DataFrame, replica: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
+    """(chunk_min, chunk_max, differences) of every chunk of a manifest; keys outside all chunks come with nulls, if they differ."""
+    placed = with_chunks(differences(source, replica, key), key, chunks.select("chunk_min", "chunk_max"))
+    counts = placed.groupBy("chunk_min", "chunk_max").agg(F.count("*").alias("__n"))
+    known = chunks.select("chunk_min", "chunk_max").join(counts, ["chunk_min", "chunk_max"], "left").select("chunk_min", "chunk_max", F.coalesce("__n", F.lit(0)).alias("differences"))
+    outside = counts.where("chunk_min IS NULL").select("chunk_min", "chunk_max", F.col("__n").alias("differences"))
+    return known.unionByName(outside)

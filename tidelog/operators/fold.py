@@ -57,3 +57,14 @@ def stage_candidates(staged: DataFrame, fresh: DataFrame, key: list[str]) -> Dat
     """Staged candidates refreshed: the new payload counts, an eviction once made stays, also one that came first."""
     joined = staged.select(*key, F.col("payload").alias("__old"), F.col("evicted").alias("__was")).join(fresh, key, "full_outer")
     return joined.select(*key, F.coalesce("payload", "__old").alias("payload"), (F.coalesce("evicted", F.lit(False)) | F.coalesce("__was", F.lit(False))).alias("evicted"))
+
+
+def numbered_changes(transactions: DataFrame, changes: str = "changes") -> DataFrame:
+    """One row a change with its sequence number in the transaction. Markers take a number too."""
+    rest = [c for c in transactions.columns if c != changes]
+    return transactions.select(*rest, F.posexplode(changes).alias("seq", "change"))
+
+
+def lag(applied, end):
+    """Records that are still to be applied; never negative."""
+    return F.greatest(end - applied, F.lit(0))

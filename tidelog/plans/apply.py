@@ -1,72 +1,151 @@
-"""One batch of the log applied to a replica: effects, ledger, clocks and frontier in one commit."""
+"""One batch of the log applied to a replica: effects, clocks, ledger, markers and frontier in one commit.
+
+Every active route (a live table, the shadow tables of backfills) gets the same changes and keeps clocks of its own. A batch is fragments of transactions in the order of their offsets. They are assembled first; every transaction is then
+judged by the strict replay rules against the ledger and the frontier that it would meet if transactions were
+applied one by one. What is still open at the end of a batch, or held by a gate, waits in the state for the next one.
+
+A batch costs what it changes: only the buckets of the target and the clocks that hold changed keys are read and written, the
+ledger and the markers are added to, and of the ledger only files that can hold the batch's log positions are read.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelog.functions.payload import transaction_fingerprints
-from tidelog.operators import fold, replay
-from tidelog.sources.state import StateStore
+from tidelog.operators import assemble, fold, replay
+from tidelog.sources.state import Buckets, Change, StateStore, bucket_number
 
 IDENTITY = ["generation", "lsn"]
+LEDGER = "generation string, lsn decimal(20,0), events bigint, fingerprint string, first_offset bigint, final_offset bigint"
+MARKER = "struct<id:string,kind:string,job_id:string,attempt:string,chunk_min:bigint,chunk_max:bigint>"
+#: Most events of one transaction, counted over all its fragments.
+MAX_EVENTS = 1_000_000
+BUCKETS = 64
 
 
 class ReplayError(RuntimeError):
     """The log contradicts the ledger or the frontier."""
 
 
-def apply_batch(store: StateStore, epoch: int, changes: DataFrame, key: str, columns: list[str], failpoint: Callable[[str], None] = lambda name: None, gate: int | None = None) -> int:
-    """Apply changes (generation, lsn, offset, seq, op, key, columns); the version that holds them.
+def with_fragments(changes: DataFrame) -> DataFrame:
+    """Changes without fragment columns are whole transactions, one an offset; without markers all are rows."""
+    for name, value in (("fragment", F.lit(0)), ("final", F.lit(True)), ("marker", F.lit(None).cast(MARKER))):
+        if name not in changes.columns:
+            changes = changes.withColumn(name, value)
+    return changes
+
+
+def assembled(changes: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(offset, island) of the fragments, and one row an island with identity, offsets, state, events and fingerprint."""
+    one_source = F.min_by(F.struct(*IDENTITY), F.struct(*IDENTITY))
+    fragments = changes.groupBy("offset").agg(
+        F.min("fragment").alias("index"), F.max("fragment").alias("__most"), F.max("final").alias("final"), one_source.alias("source"),
+        F.max_by(F.struct(*IDENTITY), F.struct(*IDENTITY)).alias("__other"), F.count("*").alias("events"), F.count("marker").alias("__markers"),
+    )
+    clean = (F.col("index") == F.col("__most")) & F.col("source").eqNullSafe(F.col("__other"))
+    fragments = fragments.withColumn("index", F.when(clean, F.col("index")).otherwise(F.raise_error(F.lit("mixed fragments at one offset")).cast("int"))).withColumn("stream", F.lit(0))
+    placed = assemble.islands(fragments, "stream", "offset").select("offset", "island", "__markers")
+    islands = assemble.transactions(fragments, "stream", "offset").drop("stream").select("*", "source.*")
+    marks = transaction_fingerprints(changes.join(placed, "offset"), ["island"], values, ["fragment", "seq"]).drop("events")
+    rows = placed.groupBy("island").agg(F.sum("__markers").alias("markers"))
+    return placed.select("offset", "island"), islands.drop("source").join(marks, "island").join(rows, "island")
+
+
+def judged(islands: DataFrame, ledger: DataFrame, frontier: int) -> DataFrame:
+    """Islands with `action`: what the replay rules say when transactions are applied in the order of their offsets."""
+    order = Window.orderBy("first_offset")  # a row for each transaction of one batch of one ordered log
+    meets = F.greatest(F.lit(frontier), F.coalesce(F.lag("final_offset").over(order) + 1, F.lit(frontier)))
+    placed = islands.withColumn("meets", meets)
+    complete = placed.where("state = 'complete'")
+    firsts = complete.groupBy(*IDENTITY).agg(F.min("first_offset").alias("__at"), F.min_by(F.struct("events", "fingerprint"), "first_offset").alias("__first"))
+    span = complete.agg(F.min("lsn"), F.max("lsn")).first()
+    near = ledger.where(F.col("lsn").between(span[0], span[1])) if span[0] is not None else ledger.limit(0)
+    known = near.select(*IDENTITY, F.struct("events", "fingerprint").alias("__ledger"))
+    joined = placed.join(firsts, IDENTITY, "left").join(known, IDENTITY, "left")
+    before = F.coalesce("__ledger", F.when(F.col("first_offset") > F.col("__at"), F.col("__first")))
+    action = replay.replay_action("meets", "first_offset", "final_offset", "events", "fingerprint", before["events"], before["fingerprint"])
+    gap = F.when(F.col("first_offset") > F.col("meets"), "error: gap").otherwise(F.col("state"))
+    too_many = F.when(F.col("events") > MAX_EVENTS, f"error: more than {MAX_EVENTS} events")
+    return joined.withColumn("action", F.when(F.col("events") > MAX_EVENTS, too_many).when(F.col("state") == "complete", action).when(F.col("state") == "broken", "error: broken transaction").otherwise(gap)).drop("__at", "__first", "__ledger", "meets")
+
+
+def judge(changes: DataFrame, ledger: DataFrame, frontier: int, values: list[str]) -> DataFrame:
+    """What would become of each transaction of a batch: generation, lsn, offsets, events, fingerprint and action."""
+    return judged(assembled(with_fragments(changes), values)[1], ledger, frontier)
+
+
+def targets(facts: dict) -> dict[str, str]:
+    """Table and clocks of every active route; without routes there is one of each."""
+    if "routes" not in facts:
+        return {"target": "clocks"}
+    return {r["target"]: f"clocks_{name}" for name, r in facts["routes"].items() if r["active"]}
+
+
+def apply_batch(
+    store: StateStore, epoch: int, changes: DataFrame, key: str, columns: list[str], failpoint: Callable[[str], None] = lambda name: None, gate: int | None = None, buckets: int = BUCKETS
+) -> int:
+    """Apply changes (generation, lsn, offset, seq, op, key, columns; and fragment, final, marker); the version that holds them.
 
-    A transaction whose identity and content are in the ledger is skipped; one that differs, a gap or a regress
-    raises. With a gate no transaction that ends at or after it is applied. Re-running after any crash is safe.
+    A transaction whose identity and content are in the ledger is skipped; one that differs, a gap, a regress or a broken
+    one raises. With a gate, no transaction that ends at or after it, and none behind it, is applied. Re-running
+    after any crash is safe. Markers keep their place in the transaction and go to the table of markers.
     """
-    spark = store.spark
-    record = store.commit_record()
-    frontier = record["facts"].get("next_offset", 0)
-    if gate is not None:
-        held = changes.groupBy(*IDENTITY).agg(F.max("offset").alias("__end")).where(F.col("__end") >= gate)
-        changes = changes.join(held.select(*IDENTITY), IDENTITY, "left_anti")
-    marks = transaction_fingerprints(changes, [*IDENTITY, "offset"], ["op", key, *columns], "seq")
-    ledger = store.read("ledger")
-    if ledger is None:
-        ledger = spark.createDataFrame([], "generation string, lsn decimal(20,0), events bigint, fingerprint string")
-    seen = fold_replays(marks)
-    faults = seen.where("first_mark <> last_mark").limit(1).collect()
-    if faults:
-        raise ReplayError(f"content differs between deliveries of {faults[0]['lsn']}")
-    deliveries = marks.groupBy(*IDENTITY).agg(F.min("offset").alias("first_offset"), F.max("events").alias("events"), F.min("fingerprint").alias("fingerprint"))
-    known = deliveries.join(ledger.select(*IDENTITY, F.col("events").alias("had"), F.col("fingerprint").alias("mark")), IDENTITY, "left")
-    wrong = known.where("had IS NOT NULL AND (had <> events OR mark <> fingerprint)").limit(1).collect()
-    if wrong:
-        raise ReplayError(f"content differs from the ledger for {wrong[0]['lsn']}")
-    fresh = known.where("had IS NULL")
-    behind = fresh.where(F.col("first_offset") < frontier).limit(1).collect()
-    if behind:
-        raise ReplayError(f"{behind[0]['lsn']} is behind the frontier and not in the ledger")
-    span = changes.agg(F.min("offset").alias("a"), F.max("offset").alias("b"), F.countDistinct("offset").alias("n")).first()
-    if span["n"] == 0:
-        return record["version"]
-    if span["a"] > frontier or span["b"] - span["a"] + 1 != span["n"]:
-        raise ReplayError(f"gap: offsets {span['a']} to {span['b']} hold {span['n']}, the frontier is {frontier}")
-    failpoint("classified")
-    wanted = changes.join(fresh.select(*IDENTITY, "first_offset"), IDENTITY).where("offset = first_offset").drop("first_offset")
-    last = fold.last_changes(fold.checked_operations(wanted).select(key, "op", "lsn", "seq", *columns), [key], ["lsn", "seq"])
-    target, clocks = store.read("target"), store.read("clocks")
-    if clocks is None:
-        clocks = spark.createDataFrame([], f"{key} bigint, lsn decimal(20,0), seq bigint, deleted boolean")
-    newer = fold.newer_changes(last, clocks, [key])
-    failpoint("folded")
-    tables = {
-        "target": fold.apply_changes(target, newer, [key]), "clocks": fold.merge_clocks(clocks, newer, [key]),
-        "ledger": ledger.unionByName(fresh.select(*IDENTITY, "events", "fingerprint")),
-    }
-    version = store.commit(tables, {"next_offset": max(frontier, span["b"] + 1)}, epoch, record["version"], lambda: failpoint("written"))
-    failpoint("committed")
-    return version
-
-
-def fold_replays(marks: DataFrame) -> DataFrame:
-    return marks.groupBy(*IDENTITY).agg(F.min("fingerprint").alias("first_mark"), F.max("fingerprint").alias("last_mark"))
+    spark, record = store.spark, store.commit_record()
+    facts = record["facts"]
+    frontier = facts.get("next_offset", 0)
+    changes = with_fragments(changes).select("generation", "lsn", "offset", "fragment", "final", "seq", "op", key, *columns, "marker")
+    if facts.get("waiting"):
+        held = store.read("waiting")
+        changes = held.unionByName(changes.join(held.select("offset").distinct(), "offset", "left_anti"))
+    kept = [changes := changes.persist()]
+    try:
+        placed, islands = assembled(changes, ["op", key, *columns, "marker"])
+        ledger = store.read("ledger")
+        found = judged(islands, spark.createDataFrame([], LEDGER) if ledger is None else ledger, frontier).persist()
+        kept.append(found)
+        waits = F.col("state") == "open"
+        held = waits if gate is None else waits | (F.col("final_offset") >= gate)
+        error = F.col("action").startswith("error")
+        seen = found.agg(F.min(F.when(error, F.struct("first_offset", "lsn", "action"))).alias("wrong"), F.min(F.when(held, F.col("first_offset"))).alias("stop")).first()
+        if seen["wrong"]:
+            raise ReplayError(f"{seen['wrong']['lsn']} at {seen['wrong']['first_offset']}: {seen['wrong']['action'].removeprefix('error: ')}")
+        stop = seen["stop"]
+        taken = found if stop is None else found.where(F.col("first_offset") < stop)
+        new = F.col("action") == replay.APPLY
+        reach = taken.agg((F.max("final_offset") + 1).alias("next"), F.count_if(new).alias("fresh"), F.sum(F.when(new, F.col("events") - F.col("markers"))).alias("rows"), F.sum(F.when(new, F.col("markers"))).alias("markers")).first()
+        failpoint("classified")
+        fresh = taken.where(F.col("action") == replay.APPLY)
+        wanted = changes.join(placed, "offset").join(fresh.select("island"), "island")
+        change = Change(facts={"next_offset": max(frontier, reach["next"] or 0), "waiting": stop is not None})
+        if stop is not None:
+            change.tables["waiting"] = changes.where(F.col("offset") >= stop)
+        if reach["rows"]:  # a batch of markers alone leaves the targets as they are
+            place = Window.partitionBy("island").orderBy("fragment", "seq")
+            rows = wanted.withColumn("seq", F.row_number().over(place).cast("bigint") - 1).where("marker IS NULL")
+            last = fold.last_changes(fold.checked_operations(rows).select(key, "op", "lsn", "seq", *columns), [key], ["lsn", "seq"]).persist()
+            kept.append(last)
+            touched = tuple(r[0] for r in last.select(bucket_number([key], buckets)).distinct().collect())  # at most `buckets`
+            for table, clock_table in targets(facts).items():
+                target, clocks = store.read_buckets(table, touched), store.read_buckets(clock_table, touched)
+                if clocks is None:
+                    clocks = spark.createDataFrame([], f"{key} bigint, lsn decimal(20,0), seq bigint, deleted boolean")
+                newer = fold.newer_changes(last, clocks, [key])
+                whole = record["tables"][table]["kind"] != "buckets"
+                change.buckets[table] = Buckets(fold.apply_changes(target, newer, [key]), (key,), buckets, None if whole else touched)
+                change.buckets[clock_table] = Buckets(fold.merge_clocks(clocks, newer, [key]), (key,), buckets, touched)
+            failpoint("folded")
+        if reach["fresh"]:
+            change.added["ledger"] = fresh.select(*IDENTITY, "events", "fingerprint", "first_offset", "final_offset")
+        if reach["markers"]:
+            change.added["markers"] = wanted.where("marker IS NOT NULL").select("marker.*", "generation", "lsn", "offset")
+        if not (change.added or change.buckets or change.tables or change.facts["next_offset"] > frontier):
+            return record["version"]
+        version = store.commit(change, epoch=epoch, expected=record["version"], before_commit=lambda: failpoint("written"))
+        failpoint("committed")
+        return version
+    finally:
+        for frame in kept:
+            frame.unpersist()

@@ -78,3 +78,27 @@ def fragment_numbers(changes: DataFrame, by: list[str], order: str, size: str, l
         return group.assign(fragment=numbers)[columns]
 
     return changes.groupBy(*by).applyInPandas(pack, schema)
+
+
+def encode(changes: DataFrame, by: list[str]) -> DataFrame:
+    """One record (by, fragment, key, value) a fragment, of changes (by, fragment, seq, change, source, schema_id): JSON that `decode` reads back."""
+    whole = changes.groupBy(*by).agg(F.max("fragment").alias("__last"), F.count("*").alias("__total"))
+    packed = changes.groupBy(*by, "fragment").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "change"))), lambda x: x["change"]).alias("Changes"), F.count("*").alias("__n"), F.first("source").alias("Source"), F.first("schema_id").alias("SchemaID")
+    ).join(whole, by)
+    envelope = F.struct(
+        F.lit(2).alias("Version"), "SchemaID", F.col("fragment").cast("int").alias("FragmentIndex"), (F.col("fragment") == F.col("__last")).alias("Final"), F.col("__n").cast("int").alias("Count"),
+        F.col("__total").cast("int").alias("TotalCount"), "Source", "Changes",
+    )
+    return packed.select(*by, "fragment", F.concat_ws(":", "Source.SystemID", "Source.Generation", "Source.LSN").alias("key"), F.to_json(envelope, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def envelope_bytes(source: Column, schema_id: Column, index: Column, final: Column, count: Column, total: Column, changes_bytes: Column) -> Column:
+    """Bytes of an envelope whose changes, encoded, take `changes_bytes` without the commas between them."""
+    head = F.to_json(F.struct(F.lit(2).alias("Version"), schema_id.alias("SchemaID"), index.alias("FragmentIndex"), final.alias("Final"), count.alias("Count"), total.alias("TotalCount"), source.alias("Source"), F.array().cast(f"array<{CHANGE}>").alias("Changes")), {"ignoreNullFields": "false"})
+    return F.octet_length(head) + changes_bytes + F.greatest(count - 1, F.lit(0))
+
+
+def tuple_cell(kind: Column, text: Column, old: Column) -> Column:
+    """A cell of a row message: n is null, t its text, u the old row's; b (binary) and others raise."""
+    return F.when(kind == "n", F.lit(None).cast("string")).when(kind == "t", text).when(kind == "u", old).otherwise(F.raise_error(F.concat(F.lit("cell kind "), F.coalesce(kind, F.lit("null")))).cast("string"))

@@ -84,3 +84,21 @@ class TableContract:
         if have != want:
             raise ValueError(f"the table differs from its contract: {have} is not {want}")
         return df
+
+
+def contract_of(df: DataFrame, table: str, key: str) -> TableContract:
+    """The contract of a DataFrame's schema: its columns in their order, by the first source type that stands for each."""
+    kinds = {}
+    for name, spark_type in SOURCE_TYPES.items():
+        kinds.setdefault(spark_type.simpleString(), name)
+    kinds |= {"string": "text", "timestamp_ntz": "timestamp", "timestamp": "timestamptz"}
+    columns = []
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if isinstance(f.dataType, T.DecimalType):
+            columns.append(Column(f.name, "numeric", f.nullable, f"{f.dataType.precision},{f.dataType.scale}"))
+        elif kind in kinds:
+            columns.append(Column(f.name, kinds[kind], f.nullable and f.name != key))
+        else:
+            raise ValueError(f"column {f.name} has the type {kind}, which no source type stands for")
+    return TableContract(table, tuple(columns), key)
