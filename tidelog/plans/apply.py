@@ -23,7 +23,7 @@ LEDGER = "generation string, lsn decimal(20,0), events bigint, fingerprint strin
 MARKER = "struct<id:string,kind:string,job_id:string,attempt:string,chunk_min:bigint,chunk_max:bigint>"
 #: Most events of one transaction, counted over all its fragments.
 MAX_EVENTS = 1_000_000
-BUCKETS = 64
+BUCKETS = 16
 
 
 class ReplayError(RuntimeError):
@@ -91,7 +91,7 @@ def apply_batch(
 
     A transaction whose identity and content are in the ledger is skipped; one that differs, a gap, a regress or a broken
     one raises. With a gate, no transaction that ends at or after it, and none behind it, is applied. Re-running
-    after any crash is safe. Markers keep their place in the transaction and go to the table of markers.
+    after any crash is safe. A target that isn't in buckets yet is put in `buckets` of them. Markers keep their place in the transaction and go to the table of markers.
     """
     spark, record = store.spark, store.commit_record()
     facts = record["facts"]
@@ -127,15 +127,16 @@ def apply_batch(
             rows = wanted.withColumn("seq", F.row_number().over(place).cast("bigint") - 1).where("marker IS NULL")
             last = fold.last_changes(fold.checked_operations(rows).select(key, "op", "lsn", "seq", *columns), [key], ["lsn", "seq"]).persist()
             kept.append(last)
-            touched = tuple(r[0] for r in last.select(bucket_number([key], buckets)).distinct().collect())  # at most `buckets`
             for table, clock_table in targets(facts).items():
+                count = store.bucket_count(clock_table, store.bucket_count(table, buckets))
+                touched = tuple(r[0] for r in last.select(bucket_number([key], count)).distinct().collect())  # at most `count`
                 target, clocks = store.read_buckets(table, touched), store.read_buckets(clock_table, touched)
                 if clocks is None:
                     clocks = spark.createDataFrame([], f"{key} bigint, lsn decimal(20,0), seq bigint, deleted boolean")
                 newer = fold.newer_changes(last, clocks, [key])
                 whole = record["tables"][table]["kind"] != "buckets"
-                change.buckets[table] = Buckets(fold.apply_changes(target, newer, [key]), (key,), buckets, None if whole else touched)
-                change.buckets[clock_table] = Buckets(fold.merge_clocks(clocks, newer, [key]), (key,), buckets, touched)
+                change.buckets[table] = Buckets(fold.apply_changes(target, newer, [key]), (key,), count, None if whole else touched)
+                change.buckets[clock_table] = Buckets(fold.merge_clocks(clocks, newer, [key]), (key,), count, touched)
             failpoint("folded")
         if reach["fresh"]:
             change.added["ledger"] = fresh.select(*IDENTITY, "events", "fingerprint", "first_offset", "final_offset")

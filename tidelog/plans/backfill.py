@@ -279,7 +279,8 @@ class Backfills:
             at[name] = mark["lsn"]
         key, route = self.contract.key, self.route(lease.job)
         rows = staging.staged_rows(staging.load_lines(spark, row["stage"]), self.contract, row["rows_scanned"])
-        buckets = tuple(r[0] for r in rows.select(bucket_number([key], self.buckets)).distinct().collect())
+        count = self.store.bucket_count(f"clocks_{route}", self.store.bucket_count(job["shadow"], self.buckets))
+        buckets = tuple(r[0] for r in rows.select(bucket_number([key], count)).distinct().collect())
         clocks = self.store.read_buckets(f"clocks_{route}", buckets)
         low = F.lit(at[row["low_marker"]]).cast("decimal(20,0)")
         if clocks is None:
@@ -291,7 +292,7 @@ class Backfills:
             target = self.store.read_buckets(job["shadow"], buckets)
             whole = self.store.commit_record()["tables"][job["shadow"]]["kind"] != "buckets"
             merged = target.join(kept.select(key), key, "left_anti").select(*kept.columns).unionByName(kept)
-            change.buckets[job["shadow"]] = Buckets(merged, (key,), self.buckets, None if whole else buckets)
+            change.buckets[job["shadow"]] = Buckets(merged, (key,), count, None if whole else buckets)
         left = self.chunks(lease.job).where((F.col("status") != "completed") & (F.col("chunk_min") != lease.chunk_min)).count()
         jobs = {lease.job: job | {"state": advance(job["state"], "ready_to_verify")}} if not left else None
         self._update(lease, self._held(lease, "committing"), {"status": "completed", "low_lsn": low, "stage": None, "rows_applied": n, "expires": None}, change, jobs)
@@ -361,7 +362,7 @@ class Backfills:
         clocks = self.store.read(f"clocks_{self.route(name)}")
         change = Change(facts={"view": job["shadow"]})
         if clocks is not None:
-            change.buckets["clocks_live"] = Buckets(clocks, (key,), self.buckets)
+            change.buckets["clocks_live"] = Buckets(clocks, (key,), self.store.bucket_count(job["shadow"], self.buckets))
         self._commit(
             change, {name: job | {"state": advance(job["state"], "completed"), "retired": retired}},
             {"live": routes["live"] | {"target": job["shadow"], "active": True}, self.route(name): routes[self.route(name)] | {"active": False}},

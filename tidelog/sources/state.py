@@ -96,6 +96,10 @@ class StateStore:
         entry = self.commit_record(version)["tables"].get(table)
         return None if entry is None else self._read(table, entry)
 
+    def bucket_count(self, table: str, default: int) -> int:
+        """In how many buckets a table is kept; the default for one that isn't."""
+        return self.commit_record()["tables"].get(table, {}).get("count", default)
+
     def read_buckets(self, table: str, touched, version: int | None = None) -> DataFrame | None:
         entry = self.commit_record(version)["tables"].get(table)
         return None if entry is None else self._read(table, entry, set(touched))
