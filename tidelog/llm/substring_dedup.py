@@ -194,9 +194,14 @@ def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def layers_of(table: np.ndarray) -> np.ndarray:
+    """The bytes of a table's columns, a row for those of the same weight; some columns of this are the same of some rows."""
+    return np.concatenate([np.ascontiguousarray(table[f]).view(np.uint8).reshape(-1, table.dtype[f].itemsize).T for f in table.dtype.names])
+
+
 def planes(table: np.ndarray) -> bytes:
     """The bytes of a table's columns, those of the same weight together, which compress better."""
-    return b"".join(np.ascontiguousarray(table[f]).view(np.uint8).reshape(len(table), -1).T.tobytes() for f in table.dtype.names)
+    return layers_of(table).tobytes()
 
 
 def from_planes(body: bytes, kind: np.dtype, n: int, at: int) -> tuple[np.ndarray, int]:
@@ -208,26 +213,58 @@ def from_planes(body: bytes, kind: np.dtype, n: int, at: int) -> tuple[np.ndarra
     return table, at
 
 
-def pack(keys, tags, docs, variants, start) -> bytes:
-    """Occurrences of one bucket in order of their keys, then the tag of each window."""
-    head, length = joined_runs(keys, docs, variants, start=start)
-    order = np.argsort(keys[head], kind="stable")
+def packed(got: tuple[np.ndarray, ...], bucket: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, windows, blob) of each bucket: its occurrences in order of their keys, then the tag of each window.
+
+    All buckets are sorted and laid out at once, so that a bucket of a few windows costs little more than its bytes.
+    """
+    keys, tags, docs, variants, start = got
+    if not len(keys):
+        return
+    head, length = joined_runs(bucket, keys, docs, variants, start=start)
+    order = np.lexsort((keys[head], bucket[head]))
+    head, length = head[order], length[order]
     table = np.empty(len(head), dtype=OCCURRENCE)
     for field, values in (("key", keys), ("doc", docs), ("start", start), ("variant", variants)):
-        table[field] = values[head][order]
-    table["count"] = length[order]
-    rows = np.repeat(head[order] - np.cumsum(length[order]) + length[order], length[order]) + np.arange(length.sum())
-    body = b"".join([len(head).to_bytes(4, "little"), planes(table), tags[rows].view(np.uint8).reshape(-1, 8)[:, :TAG_BYTES].tobytes()])
-    return zstandard.compress(body, 1)
+        table[field] = values[head]
+    table["count"] = length
+    layers = layers_of(table)
+    ends = np.cumsum(length)
+    rows = np.repeat(head - ends + length, length) + np.arange(length.sum())
+    marks = tags[rows].view(np.uint8).reshape(-1, 8)[:, :TAG_BYTES].tobytes()
+    numbers = bucket[head]
+    edges = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+    packer, at = zstandard.ZstdCompressor(level=1), 0
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(head)], strict=True):
+        to = int(ends[b - 1])
+        body = b"".join([(b - a).to_bytes(4, "little"), layers[:, a:b].tobytes(), marks[at * TAG_BYTES : to * TAG_BYTES]])
+        yield int(numbers[a]), to - at, packer.compress(body)
+        at = to
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    body = zstandard.decompress(blob)
-    out, at = from_planes(body, OCCURRENCE, int.from_bytes(body[:4], "little"), 4)
+def pack(keys, tags, docs, variants, start) -> bytes:
+    """The blob of windows that are all of one bucket."""
+    return next(packed((keys, tags, docs, variants, start), np.zeros(len(keys), np.int64)))[2]
+
+
+def unpack(*blobs: bytes) -> tuple[np.ndarray, ...]:
+    """(key, tag, document id, variant, start) of the windows of all blobs."""
+    unzip = zstandard.ZstdDecompressor()
+    layers, marks = [], []
+    for blob in blobs:
+        body = unzip.decompress(blob)
+        size = OCCURRENCE.itemsize * int.from_bytes(body[:4], "little")
+        layers.append(np.frombuffer(body, np.uint8, size, 4).reshape(OCCURRENCE.itemsize, -1))
+        marks.append(np.frombuffer(body, np.uint8, offset=4 + size))
+    layers, marks, out, at = np.concatenate(layers, axis=1), np.concatenate(marks).reshape(-1, TAG_BYTES), {}, 0
+    for f in OCCURRENCE.names:
+        width = OCCURRENCE[f].itemsize
+        out[f] = np.ascontiguousarray(layers[at : at + width].T).view(OCCURRENCE[f]).ravel()
+        at += width
     count = out["count"].astype(np.int64)
-    tags = np.zeros((count.sum(), 8), np.uint8)
-    tags[:, :TAG_BYTES] = np.frombuffer(body, np.uint8, count.sum() * TAG_BYTES, at).reshape(-1, TAG_BYTES)
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    tags = np.zeros((len(marks), 8), np.uint8)
+    tags[:, :TAG_BYTES] = marks
+    inner = np.arange(len(marks)) - np.repeat(np.cumsum(count) - count, count)
     repeated = {f: np.repeat(out[f], count) for f in ("key", "doc", "variant", "start")}
     return repeated["key"], tags.view(np.uint64).ravel(), repeated["doc"], repeated["variant"], (repeated["start"] + inner).astype(np.uint32)
 
@@ -247,10 +284,10 @@ def stretch_table(docs, variants, start, count=1) -> np.ndarray:
 
 
 class Found:
-    """Windows found so far, given out by the bucket of their document."""
+    """Windows found so far, given out by the bucket of their document, or if that isn't wanted yet all together, in any bucket."""
 
-    def __init__(self, buckets: int, limit: int = HELD_WINDOWS):
-        self.buckets, self.limit, self.held, self.n = buckets, limit, [], 0
+    def __init__(self, buckets: int, by_document: bool = True, limit: int = HELD_WINDOWS):
+        self.buckets, self.by_document, self.limit, self.held, self.n = buckets, by_document, limit, [], 0
 
     def add(self, table: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(table)
@@ -264,24 +301,22 @@ class Found:
         table = np.concatenate(self.held)
         self.held, self.n = [], 0
         table = stretch_table(table["doc"], table["variant"], table["start"], table["count"])
-        bucket = bucket_of(mix64(table["doc"].view(np.uint64)), self.buckets)
+        mark = mix64(table["doc"].view(np.uint64))
+        if not self.by_document:
+            mark = np.full(len(table), np.bitwise_xor.reduce(mix64(mark + table["start"])))
+        bucket = bucket_of(mark, self.buckets)
         order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-        rows = []
-        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-            rows.append((int(bucket[order[a]]), FOUND, b - a, zstandard.compress(planes(table[order[a:b]]), 1)))
+        layers, number = layers_of(table[order]), bucket[order]
+        edges = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        packer, rows = zstandard.ZstdCompressor(level=1), []
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+            rows.append((int(number[a]), FOUND, b - a, packer.compress(layers[:, a:b].tobytes())))
         yield exchange_rows(rows)
 
 
 def dealt_windows(got: tuple[np.ndarray, ...], bucket: np.ndarray) -> list[tuple[int, int, int, bytes]]:
     """Rows for the exchange: the windows of each bucket packed together."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
-    out = []
-    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-        rows = order[a:b]
-        out.append((int(bucket[rows[0]]), COMPARE, b - a, pack(*(x[rows] for x in got))))
-    return out
+    return [(number, COMPARE, n, blob) for number, n, blob in packed(got, bucket)]
 
 
 def name_windows(buckets: int, window: int, rounds: int, held_windows: int = HELD_WINDOWS):
@@ -317,38 +352,51 @@ def name_windows(buckets: int, window: int, rounds: int, held_windows: int = HEL
     return run
 
 
-def compare_windows(buckets: int, limit: int | None):
-    """Rows in the order of their buckets -> windows that also start in a smaller document, by bucket of the document.
+def compare_windows(buckets: int, limit: int | None, held_windows: int = HELD_WINDOWS):
+    """Rows in the order of their buckets -> windows that also start in a smaller document.
 
-    Windows of buckets with more than `limit` come out again, by bucket of their own hash. Holds one bucket's at most.
+    They come out by bucket of the document if there is no `limit`. With one they come together, in any bucket, and
+    windows of buckets with more than `limit` come out again, by bucket of their own hash; some `held_windows` are dealt at
+    once, since a row of the exchange costs as much as many windows. Holds one bucket's windows at most, or `limit` of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Found(buckets)
+        found = Found(buckets, by_document=limit is None)
 
         def judged(blobs):
-            keys, tags, docs, variants, start = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+            keys, tags, docs, variants, start = unpack(*blobs)
             least = smallest_of_group(keys, tags, docs)
             return stretch_table(docs[~least], variants[~least], start[~least])
 
-        now, blobs, windows = None, [], 0
+        def dealt(blobs, sizes):
+            turn = (np.cumsum(sizes) - 1) // held_windows
+            for a, b in zip(*(np.searchsorted(turn, np.unique(turn), side) for side in ("left", "right")), strict=True):
+                some = unpack(*blobs[a:b])
+                yield exchange_rows(dealt_windows(some, bucket_of(mix64(some[0] + some[1] * PAIR_SALT), buckets)))
+
+        def ended(blobs, sizes, over):
+            if over:
+                yield from dealt(blobs, sizes)
+            elif blobs:
+                yield from found.add(judged(blobs))
+
+        now, blobs, sizes, held, over = None, [], [], 0, False
         for batch in batches:
             for bucket, kind, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if kind == FOUND:
                     yield from found.add(from_planes(zstandard.decompress(blob), STRETCH, n, 0)[0])
                     continue
                 if bucket != now:
-                    if blobs:
-                        yield from found.add(judged(blobs))
-                    now, blobs, windows = bucket, [], 0
-                windows += n
+                    yield from ended(blobs, sizes, over)
+                    now, blobs, sizes, held, over = bucket, [], [], 0, False
                 blobs.append(blob)
-                if limit is not None and windows > limit:
-                    for x in map(unpack, blobs):
-                        yield exchange_rows(dealt_windows(x, bucket_of(mix64(x[0] + x[1] * PAIR_SALT), buckets)))
-                    blobs = []
-        if blobs:
-            yield from found.add(judged(blobs))
+                sizes.append(n)
+                held += n
+                over = over or (limit is not None and held > limit)
+                if over and held >= held_windows:
+                    yield from dealt(blobs, sizes)
+                    blobs, sizes, held = [], [], 0
+        yield from ended(blobs, sizes, over)
         yield from found.rest()
 
     return run
