@@ -135,30 +135,33 @@ def wire_source():
     return F.struct(F.lit("1").alias("Generation"), F.lit("sys").alias("SystemID"), F.col("tx").alias("XID"), F.concat(F.lit("0/"), F.hex("tx")).alias("LSN"))
 
 
-def wire_changes(spark, sf) -> DataFrame:
-    """Events as changes on the wire: transactions of `PER_TRANSACTION`, (tx, seq, change, source, schema_id, bytes)."""
-    e = log(spark, sf).withColumn("tx", F.floor(F.col("offset") / PER_TRANSACTION).cast("bigint")).withColumn("seq", F.col("offset") % PER_TRANSACTION)
+def wire_change():
+    """A row (tx, op, k, v) as a change on the wire."""
     cells = F.array(
         F.struct(F.lit(1).alias("Kind"), F.col("k").alias("Int"), F.lit("").alias("Text")), F.struct(F.lit(2).alias("Kind"), F.lit(0).cast("bigint").alias("Int"), F.col("v").cast("string").alias("Text")),
     )
     marker = F.lit(None).cast("struct<ID:string,Kind:string,JobID:string,Attempt:string,ChunkMin:bigint,ChunkMax:bigint>")
-    change = F.struct(F.col("op").alias("Op"), F.lit("e").alias("SchemaID"), F.struct(cells.alias("Values")).alias("Row"), marker.alias("Marker"), wire_source().alias("Source"))
-    rows = e.select("tx", "seq", change.alias("change"), wire_source().alias("source"), F.lit("e").alias("schema_id"))
-    return rows.withColumn("bytes", F.octet_length(F.to_json("change", {"ignoreNullFields": "false"})))
+    return F.struct(F.col("op").alias("Op"), F.lit("e").alias("SchemaID"), F.struct(cells.alias("Values")).alias("Row"), marker.alias("Marker"), wire_source().alias("Source"))
 
 
-def wire_records(spark, sf) -> DataFrame:
-    """Fragments of at most 900 bytes of changes: (tx, fragment, key, value)."""
-    return codec.encode(codec.fragment_numbers(wire_changes(spark, sf), ["tx"], "seq", "bytes", 900), ["tx"])
+def wire_records(spark, sf, limit: int = 900, below: int | None = None) -> DataFrame:
+    """Events as transactions of `PER_TRANSACTION`, in fragments of at most `limit` bytes of changes: (tx, fragment, key, value). `below`: only transactions before it.
+
+    Plain rows are numbered; the wire form, several times as wide, is built after that.
+    """
+    e = log(spark, sf) if below is None else log(spark, sf).where(F.col("offset") < below * PER_TRANSACTION)
+    rows = e.select(F.floor(F.col("offset") / PER_TRANSACTION).cast("bigint").alias("tx"), (F.col("offset") % PER_TRANSACTION).alias("seq"), "op", "k", "v")
+    sized = rows.withColumn("bytes", F.octet_length(F.to_json(wire_change(), {"ignoreNullFields": "false"})))
+    placed = codec.fragment_numbers(sized, ["tx"], "seq", "bytes", limit)
+    return codec.encode(placed.select("tx", "fragment", "seq", wire_change().alias("change"), wire_source().alias("source"), F.lit("e").alias("schema_id")), ["tx"])
 
 
 def wire_log(spark, sf, extra: int = 0) -> Log:
     """The log with all fragments; the first `extra` transactions are delivered once more at its end."""
     found = Log(spark, shared_folder(spark, "log")).create("changes", "sys")
-    records = wire_records(spark, sf)
-    found.append(records, ["tx", "fragment"])
+    found.append(wire_records(spark, sf), ["tx", "fragment"])
     if extra:
-        found.append(records.where(F.col("tx") < extra), ["tx", "fragment"])
+        found.append(wire_records(spark, sf, below=extra), ["tx", "fragment"])
     return found
 
 
@@ -206,7 +209,7 @@ def tuple_decode(spark, sf):
 @query("""SELECT event_id AS "offset", 'sys:1:0/' || upper(to_hex(event_id // 10)) AS key FROM events WHERE event_id % 10 = 0 AND event_id // 10 BETWEEN 5 AND 14""")
 def log_poll(spark, sf):
     found = Log(spark, shared_folder(spark, "log")).create("changes", "sys")
-    found.append(codec.encode(codec.fragment_numbers(wire_changes(spark, sf), ["tx"], "seq", "bytes"), ["tx"]), ["tx"])
+    found.append(wire_records(spark, sf, codec.FRAGMENT_BYTES), ["tx"])
     found.require_identity("changes", "sys")
     return found.poll(5, 10).select((F.col("offset") * 10).alias("offset"), "key")
 

@@ -38,19 +38,19 @@ def arithmetic_page(done: int, size: int, upper: int) -> tuple[int, int] | None:
 def numbered(rows: DataFrame, order: list[str], name: str = "rank") -> tuple[DataFrame, int]:
     """Rows with their number, from 0, in the order of columns, and how many there are. No task sorts or counts all of them.
 
-    Rows are spread by range over partitions and kept in the shared folder, so that counts and numbers are of the same
-    spread; the counts, one a partition, give each partition its first number.
+    Rows are spread by range over partitions, sorted there and kept with their place in the shared folder, so that counts and
+    numbers are of the same spread; the counts, one a partition, give each partition its first number.
     """
     ensure_checkpoints(rows.sparkSession)
-    spread = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number in its partition
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", place).checkpoint()
     counts = sorted((r["__part"], r["n"]) for r in spread.groupBy("__part").agg(F.count("*").alias("n")).collect())
     firsts, total = [], 0
     for part, n in counts:
         firsts.append((part, total))
         total += n
     starts = rows.sparkSession.createDataFrame(firsts, "__part int, __first bigint")  # a row for each partition
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return spread.withColumn("__at", at).join(F.broadcast(starts), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first"), total
+    return spread.join(F.broadcast(starts), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first"), total
 
 
 def ranked_keys(rows: DataFrame, key: str) -> DataFrame:

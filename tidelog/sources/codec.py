@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_ENVELOPE = 1 << 20
 FRAGMENT_BYTES = 900 << 10
@@ -60,32 +62,39 @@ def same_key(old: Column, new: Column) -> Column:
 def fragment_numbers(changes: DataFrame, by: list[str], order: str, size: str, limit: int = FRAGMENT_BYTES) -> DataFrame:
     """Changes with the fragment that each goes to: as many as fit under `limit` bytes, in order. One change above it raises.
 
-    Greedy packing is a recurrence, so each transaction is folded by itself in one Arrow group.
+    Greedy packing is a recurrence: one pass over partitions sorted by transaction and order carries it from row to row,
+    so that no transaction is a call, or a frame, of its own.
     """
+    changes = changes.drop("fragment")
     schema = changes.withColumn("fragment", F.lit(0).cast("bigint")).schema
-    columns = schema.names
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        number, held, numbers = 0, 0, []
-        for n in group[size]:
-            if n > limit:
-                raise ValueError(f"a change of {n} bytes is larger than a fragment")
-            if held + n > limit:
-                number, held = number + 1, 0
-            held += n
-            numbers.append(number)
-        return group.assign(fragment=numbers)[columns]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for one, n in zip(zip(*(batch.column(c).to_pylist() for c in by)), batch.column(size).to_pylist()):
+                if n > limit:
+                    raise ValueError(f"a change of {n} bytes is larger than a fragment")
+                if one != now:
+                    now, number, held = one, 0, 0
+                if held + n > limit:
+                    number, held = number + 1, 0
+                held += n
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "fragment"])
 
-    return changes.groupBy(*by).applyInPandas(pack, schema)
+    return changes.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(pack, schema)
 
 
 def encode(changes: DataFrame, by: list[str]) -> DataFrame:
-    """One record (by, fragment, key, value) a fragment, of changes (by, fragment, seq, change, source, schema_id): JSON that `decode` reads back."""
-    whole = changes.groupBy(*by).agg(F.max("fragment").alias("__last"), F.count("*").alias("__total"))
-    packed = changes.groupBy(*by, "fragment").agg(
+    """One record (by, fragment, key, value) a fragment, of changes (by, fragment, seq, change, source, schema_id): JSON that `decode` reads back.
+
+    One exchange by transaction serves the fragments and, over them, the transaction's last fragment and total.
+    """
+    whole = Window.partitionBy(*by)
+    packed = changes.repartition(*by).groupBy(*by, "fragment").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "change"))), lambda x: x["change"]).alias("Changes"), F.count("*").alias("__n"), F.first("source").alias("Source"), F.first("schema_id").alias("SchemaID")
-    ).join(whole, by)
+    ).withColumn("__last", F.max("fragment").over(whole)).withColumn("__total", F.sum("__n").over(whole))
     envelope = F.struct(
         F.lit(2).alias("Version"), "SchemaID", F.col("fragment").cast("int").alias("FragmentIndex"), (F.col("fragment") == F.col("__last")).alias("Final"), F.col("__n").cast("int").alias("Count"),
         F.col("__total").cast("int").alias("TotalCount"), "Source", "Changes",

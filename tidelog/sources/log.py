@@ -70,10 +70,10 @@ class Log:
         if leader is not None:
             leader[0].assert_owner(leader[1])
         start = self.bounds()["end_offset"] or 0
-        over = records.where(F.octet_length("value") > MAX_ENVELOPE).limit(1).count()
-        if over:
+        kept = numbered(records, order, "__number")[0]  # in the shared folder, so records are computed once
+        if kept.where(F.octet_length("value") > MAX_ENVELOPE).limit(1).count():
             raise LogError(f"a record has more than {MAX_ENVELOPE} bytes")
-        placed = numbered(records, order, "__number")[0].select((F.col("__number") + start).cast("bigint").alias("offset"), F.lit(0).alias("partition"), "key", "value")
+        placed = kept.select((F.col("__number") + start).cast("bigint").alias("offset"), F.lit(0).alias("partition"), "key", "value")
         placed.write.mode("overwrite").parquet(f"{self.root}/segments/{start:020d}")
         return self.bounds()["end_offset"] or 0
 
