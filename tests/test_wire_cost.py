@@ -25,6 +25,12 @@ def test_fragments_are_packed_in_one_pass_over_batches(spark):
     assert have == [(str(t), i, n) for t in ("None", "a", "b") for i, n in enumerate([0, 0, 1, 2, 2, 3, 4])]
 
 
+def test_an_envelope_is_parsed_once(spark):
+    log = spark.range(3).select(F.col("id").alias("offset"), F.concat(F.lit("{"), F.col("id")).alias("value"))
+    found = codec.changes(codec.checked(codec.decode(log))).select("offset", "change.Source.XID", "change.Op")
+    assert plan(found).count("from_json") == 1
+
+
 def test_fragments_and_totals_come_without_a_join(spark):
     source = F.struct(F.lit("g").alias("Generation"), F.lit("s").alias("SystemID"), F.col("tx").alias("XID"), F.lit("0/1").alias("LSN"))
     rows = spark.range(60).selectExpr("id DIV 30 AS tx", "id % 30 AS seq", "id % 30 DIV 10 AS fragment")

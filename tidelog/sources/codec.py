@@ -17,6 +17,12 @@ CHANGE = (
 ENVELOPE = f"struct<Version:int,SchemaID:string,FragmentIndex:int,Final:boolean,Count:int,TotalCount:int,Source:{SOURCE},Changes:array<{CHANGE}>>"
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with columns that are computed once a row, however often later expressions read them: a generator's output isn't copied into its readers."""
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return rows.select("*", made)
+
+
 def decode(log: DataFrame, payload: str = "value") -> DataFrame:
     """(offset, envelope, fault): envelopes with what is wrong with each, or null."""
     e = F.col("envelope")
@@ -31,7 +37,8 @@ def decode(log: DataFrame, payload: str = "value") -> DataFrame:
         .when(e["Count"] != F.size(changes), "count differs").when(e["TotalCount"] < e["Count"], "total below count").when(~one_payload, "not exactly one payload")
         .when(~same_source, "mixed sources").when(~one_epoch, "mixed schemas")
     )
-    return log.select("offset", payload, F.from_json(payload, ENVELOPE, {"mode": "PERMISSIVE"}).alias("envelope")).select("offset", "envelope", fault.alias("fault"))
+    parsed = once(log.select("offset", payload), envelope=F.from_json(payload, ENVELOPE, {"mode": "PERMISSIVE"}))
+    return once(parsed, fault=fault).select("offset", "envelope", "fault")
 
 
 def checked(decoded: DataFrame) -> DataFrame:
