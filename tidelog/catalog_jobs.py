@@ -175,8 +175,7 @@ def fragment_round_trip(spark, sf):
 @query("SELECT DISTINCT event_id // 10 AS tx, true AS fits, true AS exact FROM events")
 def envelope_sizes(spark, sf):
     records = wire_records(spark, sf)
-    e = F.from_json("value", codec.ENVELOPE)
-    rows = records.select("tx", F.octet_length("value").alias("size"), e.alias("e"))
+    rows = codec.once(records.select("tx", "value"), e=F.from_json("value", codec.ENVELOPE)).select("tx", F.octet_length("value").alias("size"), "e")
     encoded = F.aggregate(F.transform(F.col("e")["Changes"], lambda c: F.octet_length(F.to_json(c, {"ignoreNullFields": "false"}))), F.lit(0), lambda a, b: a + b)
     computed = codec.envelope_bytes(F.col("e")["Source"], F.col("e")["SchemaID"], F.col("e")["FragmentIndex"], F.col("e")["Final"], F.col("e")["Count"], F.col("e")["TotalCount"], encoded)
     each = rows.select("tx", (encoded <= 900).alias("fits"), (computed == F.col("size")).alias("exact"))
