@@ -15,14 +15,14 @@ def transactions(fragments: DataFrame, stream: str = "stream", offset: str = "of
     """One row an island: offsets, fragments, events, and its state.
 
     complete: starts at 0, has no gap, one source, and ends with its final fragment. abandoned: a later fragment 0 came
-    first. open: its end is still to come. broken: a gap, or fragments of more than one source.
+    first. open: its end is still to come. broken: a gap, or fragments of more than one source. Islands that fragments have already stay.
     """
-    last = F.max("island").over(Window.partitionBy(stream))
-    grouped = islands(fragments, stream, offset).withColumn("last_island", last).groupBy(stream, "island").agg(
+    placed = fragments if "island" in fragments.columns else islands(fragments, stream, offset)
+    grouped = placed.groupBy(stream, "island").agg(
         F.min(offset).alias("first_offset"), F.max(offset).alias("final_offset"), F.count("*").alias("fragments"), F.min("index").alias("least"), F.max("index").alias("most"),
         F.sum("events").cast("bigint").alias("events"), F.count_if("final").alias("finals"), F.max_by("final", F.struct(offset, "index")).alias("ended"),
-        F.min("source").alias("source"), F.max("source").alias("other"), F.max("last_island").alias("last_island"),
-    )
+        F.min("source").alias("source"), F.max("source").alias("other"),
+    ).withColumn("last_island", F.max("island").over(Window.partitionBy(stream)))  # a row for each island
     dense = (F.col("least") == 0) & (F.col("most") == F.col("fragments") - 1) & (F.col("final_offset") - F.col("first_offset") == F.col("fragments") - 1) & F.col("source").eqNullSafe(F.col("other"))
     state = (
         F.when(~dense | (F.col("finals") > 1), "broken").when((F.col("finals") == 1) & F.col("ended"), "complete").when(F.col("finals") == 1, "broken")

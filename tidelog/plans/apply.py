@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidelog.functions.payload import transaction_fingerprints
+from tidelog.functions.payload import fingerprint
 from tidelog.operators import assemble, fold, replay
 from tidelog.sources.state import Buckets, Change, StateStore, bucket_number
 
@@ -38,20 +38,38 @@ def with_fragments(changes: DataFrame) -> DataFrame:
     return changes
 
 
-def assembled(changes: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(offset, island) of the fragments, and one row an island with identity, offsets, state, events and fingerprint."""
-    one_source = F.min_by(F.struct(*IDENTITY), F.struct(*IDENTITY))
-    fragments = changes.groupBy("offset").agg(
-        F.min("fragment").alias("index"), F.max("fragment").alias("__most"), F.max("final").alias("final"), one_source.alias("source"),
-        F.max_by(F.struct(*IDENTITY), F.struct(*IDENTITY)).alias("__other"), F.count("*").alias("events"), F.count("marker").alias("__markers"),
+def assembled(changes: DataFrame, values: list[str], keep: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> tuple[DataFrame, DataFrame]:
+    """(offset, island, before) of the fragments, and one row an island with identity, offsets, state, events and fingerprint.
+
+    Changes are read once: a fragment is one row with its changes' fingerprints in order, and all that follows is about fragments.
+    `before` counts the events of the island's earlier fragments. `keep` is asked to hold what is read more than once.
+    """
+    mark = fingerprint([F.col(v) for v in values])
+    fragments = changes.withColumn("__mark", mark).groupBy("offset").agg(
+        F.min("fragment").alias("index"), F.max("fragment").alias("__most"), F.max("final").alias("final"), F.min(F.struct(*IDENTITY)).alias("source"),
+        F.max(F.struct(*IDENTITY)).alias("__other"), F.count("*").alias("events"), F.count("marker").alias("markers"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "__mark"))), lambda x: x["__mark"]), "").alias("marks"),
     )
     clean = (F.col("index") == F.col("__most")) & F.col("source").eqNullSafe(F.col("__other"))
-    fragments = fragments.withColumn("index", F.when(clean, F.col("index")).otherwise(F.raise_error(F.lit("mixed fragments at one offset")).cast("int"))).withColumn("stream", F.lit(0))
-    placed = assemble.islands(fragments, "stream", "offset").select("offset", "island", "__markers")
-    islands = assemble.transactions(fragments, "stream", "offset").drop("stream").select("*", "source.*")
-    marks = transaction_fingerprints(changes.join(placed, "offset"), ["island"], values, ["fragment", "seq"]).drop("events")
-    rows = placed.groupBy("island").agg(F.sum("__markers").alias("markers"))
-    return placed.select("offset", "island"), islands.drop("source").join(marks, "island").join(rows, "island")
+    fragments = keep(fragments.withColumn("index", F.when(clean, F.col("index")).otherwise(F.raise_error(F.lit("mixed fragments at one offset")).cast("int"))).withColumn("stream", F.lit(0)).drop("__most", "__other"))
+    fragments = with_islands(fragments)
+    islands = assemble.transactions(fragments, "stream", "offset").drop("stream").select("*", "source.*").drop("source")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("index", "marks"))), lambda x: x["marks"])
+    rows = fragments.groupBy("island").agg(F.sha2(F.array_join(listed, ""), 256).alias("fingerprint"), F.sum("markers").alias("markers"))
+    earlier = Window.partitionBy("island").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    placed = fragments.select("offset", "island", F.coalesce(F.sum("events").over(earlier), F.lit(0)).alias("before"))
+    return placed, islands.join(rows, "island")
+
+
+def with_islands(fragments: DataFrame) -> DataFrame:
+    """Fragments with the island that each belongs to.
+
+    In a whole transaction, or the start of one, offset - index is where fragment 0 is; if each group by that is
+    without a gap, the groups are the islands. Only a log that has a gap is put in order as a whole, to say what is wrong.
+    """
+    claimed = fragments.withColumn("island", F.col("offset") - F.col("index"))
+    gaps = claimed.groupBy("island").agg(F.min("index").alias("__least"), F.max("index").alias("__most"), F.count("*").alias("__n")).where("__least <> 0 OR __most <> __n - 1")
+    return claimed if gaps.limit(1).isEmpty() else assemble.islands(fragments, "stream", "offset")
 
 
 def judged(islands: DataFrame, ledger: DataFrame, frontier: int) -> DataFrame:
@@ -100,12 +118,18 @@ def apply_batch(
     if facts.get("waiting"):
         held = store.read("waiting")
         changes = held.unionByName(changes.join(held.select("offset").distinct(), "offset", "left_anti"))
-    kept = [changes := changes.persist()]
+    kept = []
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.append(frame.persist())
+        return kept[-1]
+
     try:
-        placed, islands = assembled(changes, ["op", key, *columns, "marker"])
+        at = F.row_number().over(Window.partitionBy("offset").orderBy("seq")).cast("bigint") - 1
+        changes = keep(changes.withColumn("__at", at))  # the place in the fragment
+        placed, islands = assembled(changes, ["op", key, *columns, "marker"], keep)
         ledger = store.read("ledger")
-        found = judged(islands, spark.createDataFrame([], LEDGER) if ledger is None else ledger, frontier).persist()
-        kept.append(found)
+        found = keep(judged(keep(islands), spark.createDataFrame([], LEDGER) if ledger is None else ledger, frontier))
         waits = F.col("state") == "open"
         held = waits if gate is None else waits | (F.col("final_offset") >= gate)
         error = F.col("action").startswith("error")
@@ -118,15 +142,13 @@ def apply_batch(
         reach = taken.agg((F.max("final_offset") + 1).alias("next"), F.count_if(new).alias("fresh"), F.sum(F.when(new, F.col("events") - F.col("markers"))).alias("rows"), F.sum(F.when(new, F.col("markers"))).alias("markers")).first()
         failpoint("classified")
         fresh = taken.where(F.col("action") == replay.APPLY)
-        wanted = changes.join(placed, "offset").join(fresh.select("island"), "island")
+        wanted = changes.join(placed.join(fresh.select("island"), "island"), "offset")
         change = Change(facts={"next_offset": max(frontier, reach["next"] or 0), "waiting": stop is not None})
         if stop is not None:
-            change.tables["waiting"] = changes.where(F.col("offset") >= stop)
+            change.tables["waiting"] = changes.where(F.col("offset") >= stop).drop("__at")
         if reach["rows"]:  # a batch of markers alone leaves the targets as they are
-            place = Window.partitionBy("island").orderBy("fragment", "seq")
-            rows = wanted.withColumn("seq", F.row_number().over(place).cast("bigint") - 1).where("marker IS NULL")
-            last = fold.last_changes(fold.checked_operations(rows).select(key, "op", "lsn", "seq", *columns), [key], ["lsn", "seq"]).persist()
-            kept.append(last)
+            rows = wanted.withColumn("seq", F.col("before") + F.col("__at")).where("marker IS NULL")
+            last = keep(fold.last_changes(fold.checked_operations(rows).select(key, "op", "lsn", "seq", *columns), [key], ["lsn", "seq"]))
             for table, clock_table in targets(facts).items():
                 count = store.bucket_count(clock_table, store.bucket_count(table, buckets))
                 touched = tuple(r[0] for r in last.select(bucket_number([key], count)).distinct().collect())  # at most `count`
