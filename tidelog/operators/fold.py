@@ -15,6 +15,15 @@ def last_changes(changes: DataFrame, key: list[str], order: list[str]) -> DataFr
     return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), at).alias("last")).select(*key, *[F.col("last")[c].alias(c) for c in rest])
 
 
+def last_values(changes: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
+    """The values at the greatest number `at` of every key, each by a max_by of its own: all see the same rows in the same order, so ties agree.
+
+    Values of fixed width are then combined in a hash map, with memory for a task's distinct keys; a struct, or a text, has the task sort all
+    its rows first.
+    """
+    return changes.groupBy(*key).agg(*[F.max_by(v, at).alias(v) for v in values])
+
+
 def last_changes_ranked(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The same by row_number, as a cross-check."""
     by = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])

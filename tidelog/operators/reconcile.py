@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.operators.chunks import with_chunks
-from tidelog.operators.fold import DELETE, last_changes
+from tidelog.operators.fold import DELETE, last_values
+
+#: More than twice any offset, so that an offset and a step make one number. As text: it is beyond a bigint.
+STEP = "1000000000000000000000"
+
+
+def kept_row() -> Column:
+    """Whether a change leaves a row; a null operation, like a delete, doesn't."""
+    return F.coalesce(F.col("op") != DELETE, F.lit(False))
 
 
 def surviving_candidates(snapshot: DataFrame, clocks: DataFrame, key: list[str]) -> DataFrame:
@@ -25,13 +33,13 @@ def reconcile(snapshot: DataFrame, changes: DataFrame, windows: DataFrame, key:
     The last change of a key counts, unless its chunk's LOW comes at or after it and the snapshot has the key: then
     the scan saw the change and the snapshot row counts. A deleted key never comes back.
     """
-    last = last_changes(changes.select(key, "op", offset, *values), [key], [offset])
-    log = last.select(F.col(key).alias("__k"), F.col("op").alias("__op"), F.col(offset).alias("__offset"), *[F.col(v).alias(f"__{v}") for v in values])
+    last = last_values(changes.select(key, kept_row().alias("__kept"), offset, *values), [key], offset, ["__kept", offset, *values])
+    log = last.select(F.col(key).alias("__k"), "__kept", F.col(offset).alias("__offset"), *[F.col(v).alias(f"__{v}") for v in values])
     base = with_chunks(snapshot.select(key, *values), key, windows.select("chunk_min", "chunk_max", "low"))
     joined = base.join(log, F.col(key) == F.col("__k"), "full_outer")
     has_row, seen = F.col(key).isNotNull() & F.col("low").isNotNull(), F.col("__offset") <= F.col("low")
     from_snapshot = has_row & (F.col("__offset").isNull() | seen)
-    kept = joined.where(from_snapshot | (F.col("__k").isNotNull() & (F.col("__op") != DELETE)))
+    kept = joined.where(from_snapshot | (F.col("__k").isNotNull() & F.col("__kept")))
     return kept.select(
         F.coalesce(key, "__k").alias(key), *[F.when(from_snapshot, F.col(v)).otherwise(F.col(f"__{v}")).alias(v) for v in values],
         F.when(from_snapshot, "snapshot").otherwise("log").alias("origin"),
@@ -48,11 +56,12 @@ def reconcile_in_steps(snapshot: DataFrame, changes: DataFrame, windows: DataFra
         rows = rows.join(evicted_keys(rows, changes, key, offset), [key, "chunk_min"], "left_anti")
     placed = with_chunks(changes.select(key, "op", offset, *values), key, windows.select("chunk_min", "chunk_max", "low", "high"))
     edge = F.col("low") if evict else F.col("high")
-    before = placed.where(F.col(offset) <= edge)
-    after = placed.where(F.col("low").isNull() | (F.col(offset) > edge))
-    steps = before.select(key, "op", offset, *values, F.lit(0).alias("__step")).unionByName(
-        rows.select(key, F.lit("insert").alias("op"), F.lit(-1).cast("bigint").alias(offset), *values, F.lit(1).alias("__step"))
-    ).unionByName(after.select(key, "op", offset, *values, F.lit(2).alias("__step")))
-    return last_changes(steps, [key], ["__step", offset]).where(F.col("op") != DELETE).select(
-        key, *values, F.when(F.col("__step") == 1, "snapshot").otherwise("log").alias("origin")
+    before, after = F.col(offset) <= edge, F.col("low").isNull() | (F.col(offset) > edge)
+    # One number holds the step (the log, the snapshot, the log again) and, within it, the offset.
+    scanned = F.lit(STEP).cast("decimal(24,0)")
+    place = F.col(offset).cast("decimal(24,0)") + F.when(after, scanned + scanned).otherwise(F.lit(0).cast("decimal(24,0)"))
+    steps = placed.where(before | after).select(key, kept_row().alias("__kept"), place.cast("decimal(24,0)").alias("__at"), *values).unionByName(
+        rows.select(key, F.lit(True).alias("__kept"), scanned.alias("__at"), *values)
     )
+    from_snapshot = F.col("__at") == scanned
+    return last_values(steps, [key], "__at", ["__kept", "__at", *values]).where("__kept").select(key, *values, F.when(from_snapshot, "snapshot").otherwise("log").alias("origin"))
